@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import byte_chunks, stage, text_of
@@ -20,8 +20,12 @@ SHINGLE, PERCENT = 5, 75
 BINS, BANDS, ROWS = 256, 51, 5
 #: Up to so many shingles a document is found by its least shingles, which is exact, as few shingles leave bins that vary too much.
 SMALL = 64
-#: Members that one task confirms against one centre.
-PER_TASK = 512
+#: Members that one task confirms against one centre; rounds of other centres before the pairs that are left are confirmed one by one.
+PER_TASK, ROUNDS = 512, 1
+#: A sketch has four bits of each bin. At similarity 0.75 two of 256 bins' sketches differ in 60, give or take 8 at most; beyond this a pair isn't confirmed on full sets.
+PLANES, MOST_DIFFER = 4, 100
+#: Words of 64 bits in the bitmap of a set's hashes. Each shingle that only one of two sets has turns one bit at most, so bitmaps never rule out a pair that is similar enough.
+BITMAP = 16
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -93,8 +97,8 @@ class Near:
     rows: int = ROWS
     small: int = SMALL
 
-    def keys(self, doc: np.ndarray, value: np.ndarray, n_docs: int) -> tuple[np.ndarray, np.ndarray]:
-        """(text, bucket key). Texts of up to small / similarity shingles give their n - ceil(similarity n) + 1 least ones: two linked texts share one of
+    def keys(self, doc: np.ndarray, value: np.ndarray, n_docs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, bucket key) and for each text a sketch of four bits of each bin, plane by plane, as numbers (-1 for those without bands), then a bitmap of its hashes. Texts of up to small / similarity shingles give their n - ceil(similarity n) + 1 least ones: two linked texts share one of
         those. Texts of more than `small` give their bands."""
         first = np.searchsorted(doc, np.arange(n_docs + 1))
         n = np.diff(first)
@@ -103,18 +107,25 @@ class Near:
         few = (n[doc] * self.percent <= 100 * self.small) & (rank < spare[doc])
         big = np.flatnonzero(n > self.small)
         keys, owner = mix(value[few] ^ np.uint64(0x5DEECE66D)), doc[few]
+        sketch = np.full((n_docs, PLANES * self.bins // 64), -1, np.int64)
         if len(big):
             place = np.full(n_docs, -1)
             place[big] = np.arange(len(big))
             own = place[doc] >= 0
-            found = bands(signature(place[doc[own]], value[own], len(big), self.bins), self.bands, self.rows)
+            sig = signature(place[doc[own]], value[own], len(big), self.bins)
+            bits = mix(sig ^ np.arange(self.bins, dtype=np.uint64))
+            sketch[big] = np.hstack([np.packbits((bits >> np.uint64(p) & np.uint64(1)).astype(bool), axis=1) for p in range(PLANES)]).view("<i8")
+            found = bands(sig, self.bands, self.rows)
             keys, owner = np.concatenate([keys, found.ravel()]), np.concatenate([owner, np.repeat(big, found.shape[1])])
+        present = np.zeros((n_docs, 64 * BITMAP), bool)
+        present[doc, (value & np.uint64(64 * BITMAP - 1)).astype(np.int64)] = True
+        sketch = np.hstack([sketch, np.packbits(present, axis=1).view("<i8")])
         order = np.argsort(owner, kind="stable")
-        return owner[order], keys[order]
+        return owner[order], keys[order], sketch
 
 
 def profile(docs: DataFrame, how: Near = Near()) -> DataFrame:
-    """doc_id, n_shingles, two sums that identify the set (equal sets have equal ones), and the bucket keys."""
+    """doc_id, n_shingles, two sums that identify the set (equal sets have equal ones), the bucket keys and a sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -122,7 +133,7 @@ def profile(docs: DataFrame, how: Near = Near()) -> DataFrame:
                 doc, value = shingles(raw, how.shingle)
                 edges = np.searchsorted(doc, np.arange(len(raw) + 1))
                 one, two = (np.concatenate([[np.uint64(0)], np.cumsum(mix(value ^ np.uint64(c)))]) for c in (0x243F6A8885A308D3, 0x13198A2E03707344))
-                owner, keys = how.keys(doc, value, len(raw))
+                owner, keys, sketch = how.keys(doc, value, len(raw))
                 cuts = pa.array(np.searchsorted(owner, np.arange(len(raw) + 1)), pa.int32())
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -131,11 +142,12 @@ def profile(docs: DataFrame, how: Near = Near()) -> DataFrame:
                         pa.array((one[edges[1:]] - one[edges[:-1]]).view(np.int64)),
                         pa.array((two[edges[1:]] - two[edges[:-1]]).view(np.int64)),
                         pa.ListArray.from_arrays(cuts, pa.array(keys.view(np.int64))),
+                        pa.ListArray.from_arrays(pa.array(np.arange(len(raw) + 1) * sketch.shape[1], pa.int32()), pa.array(sketch.ravel())),
                     ],
-                    names=["doc_id", "n_shingles", "one", "two", "keys"],
+                    names=["doc_id", "n_shingles", "one", "two", "keys", "sketch"],
                 )
 
-    return text_of(docs).mapInArrow(run, "doc_id long, n_shingles long, one long, two long, keys array<long>")
+    return text_of(docs).mapInArrow(run, "doc_id long, n_shingles long, one long, two long, keys array<long>, sketch array<long>")
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, how: Near = Near()) -> DataFrame:
@@ -176,6 +188,30 @@ def confirm(pairs: DataFrame, texts: DataFrame, how: Near = Near()) -> DataFrame
     return met.select("u", "v", "text").mapInArrow(run, "u long, v long")
 
 
+def possible(pairs: DataFrame, marks: DataFrame, how: Near = Near()) -> DataFrame:
+    """Pairs (u, v) that can be similar enough: the smaller set holds enough of the larger, and the sketches, where both have one, don't differ too much."""
+    of = lambda c: marks.select(F.col("doc_id").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}"))
+    both = pairs.join(of("u"), "u").join(of("v"), "v")
+    return both.where(close("n_u", "n_v", "s_u", "s_v", how)).select("u", "v")
+
+
+def close(n_u: str, n_v: str, s_u: str, s_v: str, how: Near) -> Column:
+    """Whether sizes and sketches allow the similarity: the bins that differ in any plane are counted in machine words."""
+    words = how.bins // 64
+    differ = F.lit(0)
+    for q in range(words):
+        any_plane = F.lit(0).cast("long")
+        for p in range(PLANES):
+            any_plane = any_plane.bitwiseOR(F.get(s_u, F.lit(p * words + q)).bitwiseXOR(F.get(s_v, F.lit(p * words + q))))
+        differ = differ + F.bit_count(any_plane)
+    turned = F.lit(0)
+    for q in range(PLANES * words, PLANES * words + BITMAP):
+        turned = turned + F.bit_count(F.get(s_u, F.lit(q)).bitwiseXOR(F.get(s_v, F.lit(q))))
+    mapped = (100 + how.percent) * turned <= (100 - how.percent) * (F.col(n_u) + F.col(n_v))
+    sized = 100 * F.least(n_u, n_v) >= how.percent * F.greatest(n_u, n_v)
+    return sized & mapped & ((F.least(n_u, n_v) <= how.small) | (differ <= MOST_DIFFER * how.bins // 256))
+
+
 def near_duplicates(docs: DataFrame, how: Near = Near()) -> DataFrame:
     """doc_id, n_shingles, component_id (the least doc_id that links reach), kept (doc_id is that one).
 
@@ -184,7 +220,8 @@ def near_duplicates(docs: DataFrame, how: Near = Near()) -> DataFrame:
 
     Equal sets are one node, under their least id. In each bucket every member gets one candidate edge, to the bucket's least member, so edges are as
     many as memberships, however large a bucket is. Confirmed edges give components. Buckets whose members then still lie in several components are the only
-    ones where a link can be missing: their pairs from different components are confirmed too, so no link that a bucket holds is lost.
+    ones where a link can be missing: in a few more rounds each gets another centre, to which members of other components get an edge. At last the pairs that
+    are left, from different components of a bucket, are confirmed too, so no link that a bucket holds is lost.
     """
     seen = stage(profile(docs, how), "minhash-profile")
     some = seen.where("n_shingles > 0 and doc_id is not null")
@@ -194,21 +231,32 @@ def near_duplicates(docs: DataFrame, how: Near = Near()) -> DataFrame:
     full = members.groupBy("key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most")
     buckets = stage(members.join(full, "key"), "minhash-buckets")
 
-    stars = stage(buckets.where("doc_id > least").select(F.col("least").alias("u"), F.col("doc_id").alias("v")).distinct(), "minhash-stars")
-    active = stars.select(F.col("u").alias("doc_id")).union(stars.select("v")).distinct()
-    texts = stage(text_of(docs).join(active, "doc_id", "left_semi"), "minhash-texts")
-    links = stage(confirm(stars, texts, how), "minhash-links")
+    marks = stage(some.join(buckets.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "n_shingles", "sketch").dropDuplicates(["doc_id"]), "minhash-marks")
+    tried = stage(possible(buckets.where("doc_id > least").select(F.col("least").alias("u"), F.col("doc_id").alias("v")).distinct(), marks, how), "minhash-stars")
+    texts = stage(text_of(docs).join(marks.select("doc_id"), "doc_id", "left_semi"), "minhash-texts")
+    links = stage(confirm(tried, texts, how), "minhash-links")
     found = stage(components(links), "minhash-components")
 
-    placed = buckets.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("comp")).distinct().repartition("key")
-    split = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key")
-    mixed = stage(placed.join(split, "key"), "minhash-mixed")
-    a, b = mixed.select("key", F.col("doc_id").alias("u"), F.col("comp").alias("cu")), mixed.select("key", F.col("doc_id").alias("v"), F.col("comp").alias("cv"))
-    rest = a.join(b, (a["key"] == b["key"]) & (F.col("cu") < F.col("cv"))).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-    rest = rest.join(stars, ["u", "v"], "left_anti")
-    more = stage(confirm(stage(rest, "minhash-rest"), texts, how), "minhash-more")
-    if not more.isEmpty():
-        found = stage(components(links.unionByName(more)), "minhash-components")
+    for k in range(ROUNDS + 1):
+        placed = buckets.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("comp")).repartition("key")
+        centre = F.min_by(F.struct("doc_id", "comp"), F.xxhash64("doc_id", F.lit(k)))
+        split = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), centre.alias("centre")).where("low < high").select("key", "centre")
+        mixed = placed.join(split, "key")
+        if k < ROUNDS:
+            pairs = mixed.where("comp <> centre.comp").select(F.col("doc_id").alias("a"), F.col("centre.doc_id").alias("b"))
+        else:
+            left = stage(mixed.select("key", "doc_id", "comp").join(marks, "doc_id"), "minhash-mixed")
+            x, y = (left.select(F.col("key").alias(f"key_{e}"), F.col("doc_id").alias(e), F.col("comp").alias(f"c_{e}"), F.col("n_shingles").alias(f"n_{e}"), F.col("sketch").alias(f"s_{e}")) for e in "ab")
+            pairs = x.join(y, (F.col("key_a") == F.col("key_b")) & (F.col("c_a") < F.col("c_b")) & close("n_a", "n_b", "s_a", "s_b", how)).select("a", "b")
+        pairs = pairs.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
+        rest = stage(possible(pairs, marks, how).join(tried, ["u", "v"], "left_anti"), "minhash-pairs")
+        if rest.isEmpty():
+            continue
+        more = stage(confirm(rest, texts, how), "minhash-links")
+        tried = tried.unionByName(rest)
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            found = stage(components(links), "minhash-components")
 
     placed_class = classes.join(found.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left").select("one", "two", "n_shingles", F.coalesce("component", "node").alias("component"))
     linked = some.select("doc_id", "n_shingles", "one", "two").join(placed_class, ["one", "two", "n_shingles"]).select("doc_id", "n_shingles", F.col("component").alias("component_id"))
