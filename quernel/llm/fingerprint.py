@@ -98,15 +98,12 @@ def with_next(docs: DataFrame) -> DataFrame:
     order = [F.col("doc_id").asc_nulls_first(), F.col("text")]
     inside = Window.partitionBy("range").orderBy(*order)
     rows = ranged.withColumn("follow", F.lead("text").over(inside))
-    rows = rows.withColumn("is_last", F.col("follow").isNull())
     across = Window.orderBy("range")
     after = slim.select(F.coalesce(F.expr(f"(doc_id - {low}) div {width}"), F.lit(-1)).cast("long").alias("range")).distinct()
     after = after.withColumn("next_range", F.coalesce(F.lead("range").over(across), F.min("range").over(Window.partitionBy())))
     heads = ranged.groupBy("range").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))), "text")).alias("head"))
     firsts = after.join(heads.select(F.col("range").alias("next_range"), F.col("head")["text"].alias("after")), "next_range")
-    inner = rows.where(~F.col("is_last")).select("doc_id", "text", "follow")
-    edge = rows.where("is_last").join(firsts.select("range", "after"), "range").select("doc_id", "text", F.col("after").alias("follow"))
-    return inner.unionByName(edge)
+    return rows.join(firsts.select("range", "after"), "range").select("doc_id", "text", F.coalesce("follow", "after").alias("follow"))
 
 
 RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
