@@ -221,7 +221,7 @@ def near_duplicates(docs: DataFrame, how: Near = Near()) -> DataFrame:
     Equal sets are one node, under their least id. In each bucket every member gets one candidate edge, to the bucket's least member, so edges are as
     many as memberships, however large a bucket is. Confirmed edges give components. Buckets whose members then still lie in several components are the only
     ones where a link can be missing: in a few more rounds each gets another centre, to which members of other components get an edge. At last the pairs that
-    are left, from different components of a bucket, are confirmed too, so no link that a bucket holds is lost.
+    are left, from different components of a bucket, are confirmed too, each from one bucket, so no link that a bucket holds is lost.
     """
     seen = stage(profile(docs, how), "minhash-profile")
     some = seen.where("n_shingles > 0 and doc_id is not null")
@@ -245,11 +245,15 @@ def near_duplicates(docs: DataFrame, how: Near = Near()) -> DataFrame:
         if k < ROUNDS:
             pairs = mixed.where("comp <> centre.comp").select(F.col("doc_id").alias("a"), F.col("centre.doc_id").alias("b"))
         else:
-            left = stage(mixed.select("key", "doc_id", "comp").join(marks, "doc_id"), "minhash-mixed")
-            x, y = (left.select(F.col("key").alias(f"key_{e}"), F.col("doc_id").alias(e), F.col("comp").alias(f"c_{e}"), F.col("n_shingles").alias(f"n_{e}"), F.col("sketch").alias(f"s_{e}")) for e in "ab")
-            pairs = x.join(y, (F.col("key_a") == F.col("key_b")) & (F.col("c_a") < F.col("c_b")) & close("n_a", "n_b", "s_a", "s_b", how)).select("a", "b")
+            shared = mixed.groupBy("doc_id").agg(F.sort_array(F.collect_set("key")).alias("keys"))  # a document's bands or least shingles at most
+            left = stage(mixed.select("key", "doc_id", "comp").join(marks.join(shared, "doc_id"), "doc_id"), "minhash-mixed")
+            x, y = (left.select(F.col("key").alias(f"key_{e}"), F.col("doc_id").alias(e), F.col("comp").alias(f"c_{e}"), F.col("n_shingles").alias(f"n_{e}"), F.col("sketch").alias(f"s_{e}"), F.col("keys").alias(f"keys_{e}")) for e in "ab")
+            once = F.array_min(F.array_intersect("keys_a", "keys_b")) == F.col("key_a")  # of the buckets that two documents share, the first gives the pair
+            pairs = x.join(y, (F.col("key_a") == F.col("key_b")) & (F.col("c_a") < F.col("c_b")) & close("n_a", "n_b", "s_a", "s_b", how) & once).select("a", "b")
         pairs = pairs.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
-        rest = stage(possible(pairs, marks, how).join(tried, ["u", "v"], "left_anti"), "minhash-pairs")
+        if k < ROUNDS:
+            pairs = possible(pairs, marks, how)
+        rest = stage(pairs.join(tried, ["u", "v"], "left_anti"), "minhash-pairs")
         if rest.isEmpty():
             continue
         more = stage(confirm(rest, texts, how), "minhash-links")
