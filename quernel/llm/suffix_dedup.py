@@ -16,6 +16,8 @@ from .suffix_sort import repeated_starts
 
 #: Bytes of a string that counts; bytes of the piece of it that stands for it when shards are dealt out.
 LENGTH, PIECE = 400, 64
+#: Bytes from which a shard is sorted; it holds whole anchors, so one with many contexts makes a larger shard.
+SHARD = 1 << 20
 RUN = "array<struct<start: int, end: int>>"
 
 
@@ -51,7 +53,8 @@ def dedup(docs: DataFrame, length: int = LENGTH, piece: int = PIECE, *, with_tex
     So all copies go, the first too. Null text has no bytes. Repeated rows, also under one id or a null id, are texts of their own, and go. An empty table gives an empty result.
 
     Shards hold the segments of the anchors that occur twice. Equal segments are counted first: all their strings repeat, and one of them stands for all.
-    Where an anchor has different segments, those are suffix-sorted by external induction, each shard in a task, with queues in the shared folder once they outgrow memory.
+    Where an anchor has different segments, those are suffix-sorted by external induction: a task takes its anchors in order and sorts a shard of whole anchors at a time,
+    with queues in the shared folder once they outgrow memory.
     """
     folder = f"{shared_dir(docs.sparkSession)}/suffix-queues"
     rows = text_of(docs).withColumn("row_id", F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))).withColumn("tag", F.xxhash64("text"))
@@ -90,13 +93,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, piece: int = PIECE, *, with_tex
     # Rows that are equal throughout have one body, so a table with repeated rows may give a body several times; one is kept.
     bodies = texts.join(wanted.hint("shuffle_hash"), (F.col("row_id") == F.col("r")) & (F.col("tag") == F.col("t"))).select("doc_id", "text", "wanted").mapInArrow(cut_rows, "anchor long, content long, body binary")
 
-    def sort_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[tuple[int, int], bytes] = {}
-        for batch in batches:
-            for anchor, content, body in zip(*(batch.column(k).to_pylist() for k in ("anchor", "content", "body")), strict=True):
-                seen[anchor, content] = body
-        if not seen:
-            return
+    def sort_one(seen: dict[tuple[int, int], bytes]) -> Iterator[pa.RecordBatch]:
         keys, out = list(seen), []
         for starts in repeated_starts(list(seen.values()), length, folder):
             a, b = merge_runs(starts, starts + 1)
@@ -107,7 +104,23 @@ def dedup(docs: DataFrame, length: int = LENGTH, piece: int = PIECE, *, with_tex
                 names=["a", "c", "runs"],
             )
 
-    sorted_ = bodies.repartition("anchor").mapInArrow(sort_shard, f"a long, c long, runs {RUN}")
+    def sort_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[tuple[int, int], bytes] = {}
+        size, now = 0, None
+        for batch in batches:
+            for anchor, content, body in zip(*(batch.column(k) for k in ("anchor", "content", "body")), strict=True):
+                anchor = anchor.as_py()
+                if anchor != now and size >= SHARD:
+                    yield from sort_one(seen)
+                    seen, size = {}, 0
+                now, key = anchor, (anchor, content.as_py())
+                if key not in seen:
+                    seen[key] = body.as_py()
+                    size += len(seen[key])
+        if seen:
+            yield from sort_one(seen)
+
+    sorted_ = bodies.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(sort_shards, f"a long, c long, runs {RUN}")
     whole = F.array(F.struct(F.lit(0).alias("start"), F.col("one.n").alias("end")))
     verdict = kinds.join(sorted_, (F.col("anchor") == F.col("a")) & (F.col("content") == F.col("c")), "left").select("anchor", "content", F.when(F.col("copies") > 1, whole).otherwise(F.col("runs")).alias("runs"))
     hits = shared.join(verdict.where("size(runs) > 0"), ["anchor", "content"])
