@@ -5,10 +5,11 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: ASCII white space that ends a word, as the contracts of this subpackage define words.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -23,6 +24,14 @@ def text_of(docs: DataFrame, *more: str, id_col: str = "doc_id", text_col: str =
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *(F.col(c) for c in more))
 
 
+def fresh(name: str, columns: list[str]) -> str:
+    """name, with underscores after it until no column has it, whatever the case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def word_count(text: Column) -> Column:
     """Number of words; null counts as no text."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
@@ -53,30 +62,51 @@ def unstage(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
-def arrow_map(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | T.StructType, most: int = 2048) -> DataFrame:
-    """work over the Arrow batches of df, in slices of at most `most` rows, so that what a task holds doesn't follow the size of a batch."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(0, batch.num_rows, most):
-                if (out := work(batch.slice(k, most))) is not None:
-                    yield out
-
-    return df.mapInArrow(run, schema)
-
-
-def batch_of(columns: dict[str, tuple[pa.DataType, object]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([v if isinstance(v, pa.Array) else pa.array(v, type=t) for t, v in columns.values()], names=list(columns))
-
-
 def byte_chunks(batch: pa.RecordBatch, most: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Slices of a batch whose texts come to about `most` bytes, or one longer text, and the texts as UTF-8; null is empty."""
-    texts = [x or b"" for x in batch.column("text").cast(pa.binary()).to_pylist()]
-    k = size = 0
-    for i, x in enumerate(texts):
-        if size and size + len(x) > most:
-            yield batch.slice(k, i - k), texts[k:i]
-            k, size = i, 0
-        size += len(x) + 1
-    if k < len(texts):
-        yield batch.slice(k), texts[k:]
+    """Slices of a batch whose texts come to about `most` bytes, or one longer text, and the texts as UTF-8; null is empty. The batch is cut by its offsets, so
+    no more than a slice becomes Python objects at a time."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+    k = 0
+    while k < len(ends):
+        before = int(ends[k - 1]) if k else 0
+        to = max(k + 1, int(np.searchsorted(ends, before + most, "right")))
+        part = batch.slice(k, to - k)
+        yield part, [x or b"" for x in part.column("text").cast(pa.binary()).to_pylist()]
+        k = to
+
+
+_resident: dict[str, object] = {}
+
+
+def resident(name: str, make: Callable[[], object]) -> object:
+    """The one large object that a worker process keeps during a task. Workers outlive their operators, so without release() a pipeline would carry each stage's
+    tables and caches into all later ones."""
+    if name not in _resident:
+        release()
+        _resident[name] = make()
+    return _resident[name]
+
+
+def release() -> None:
+    """Give back what resident() keeps and what allocators hold in this process."""
+    _resident.clear()
+    pa.default_memory_pool().release_unused()
+
+
+def text_udf(work: Callable[[list[str | None]], pa.Array], kind: str, most: int = 1 << 20) -> Callable[..., Column]:
+    """An Arrow function of a text column. `work` sees slices of about `most` bytes, so what a worker holds doesn't follow the size of an Arrow batch; at the end of a
+    task the worker gives back what it kept."""
+
+    @F.arrow_udf(kind)
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+            out, k = [], 0
+            while k < len(ends):
+                to = max(k + 1, int(np.searchsorted(ends, (int(ends[k - 1]) if k else 0) + most, "right")))
+                out.append(work(texts.slice(k, to - k).to_pylist()))
+                k = to
+            yield pa.concat_arrays(out) if out else work([])
+        release()
+
+    return run

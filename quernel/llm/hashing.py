@@ -1,8 +1,13 @@
-"""Rabin-Karp hashes over bytes and words, vectorised: prefix sums of a polynomial modulo 2^64, shifted back by the base's inverse."""
+"""Identities of words, and Rabin-Karp hashes over bytes and words, vectorised: prefix sums of a polynomial modulo 2^64, shifted back by the base's inverse.
+
+A polynomial modulo 2^64 alone has strings that collide whatever its base (Thue-Morse words of 1024 letters), so bytes are only hashed so over pieces of less
+than 512, to deal rows out. What counts as equal is decided by 128 bits over words that are told apart exactly or by a strong hash.
+"""
 
 from __future__ import annotations
 
 import numpy as np
+import xxhash
 
 #: Odd multipliers modulo 2^64 (so that each has an inverse) for words, windows of words and windows of bytes.
 BASE_WORD, BASE_WINDOW, BASE_WINDOW_2, BASE_BYTE = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xBF58476D1CE4E5B9
@@ -58,19 +63,42 @@ def words_in(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edges[::2], edges[1::2]
 
 
-#: Bytes that are hashed at once; a longer word counts as one block.
-BLOCK = 1 << 22
+#: Bytes of a word that its identity holds as they are; longer words are hashed.
+SHORT = 15
+#: Masks that leave the first k bytes of a little-endian number.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def word_identities(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Two rows of 64 bits for each word. A word of up to SHORT bytes is its bytes and its length, permuted by rounds that can be undone, so no two such words
+    are equal; a longer one is its 128 bits of xxh3."""
+    n = len(starts)
+    if not n:
+        return np.zeros((2, 0), np.uint64)
+    padded = np.concatenate([data, np.zeros(16, np.uint8)])
+    pair = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(padded, 16)[starts]).view("<u8")
+    size = ends - starts
+    low = pair[:, 0] & _FIRST[np.minimum(size, 8)]
+    high = pair[:, 1] & _FIRST[np.clip(size - 8, 0, 7)] | np.minimum(size, 255).astype(np.uint64) << np.uint64(56)
+    for key in (0x243F6A8885A308D3, 0x13198A2E03707344):
+        high = high ^ mix(low + np.uint64(key))
+        low = low ^ mix(high + np.uint64(key))
+    out = np.stack([low, high])
+    for k in np.flatnonzero(size > SHORT).tolist():
+        found = xxhash.xxh3_128_intdigest(data[starts[k] : ends[k]])
+        out[0, k], out[1, k] = found & M64, found >> 64
+    return out
+
+
+def word_sums(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Prefix sums of the two rows of word_identities(), each to a base of its own."""
+    return prefix(words[0], BASE_WINDOW), prefix(words[1], BASE_WINDOW_2)
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    out, k = np.empty(len(starts), np.uint64), 0
-    while k < len(starts):
-        low = starts[k]
-        to = max(k + 1, int(np.searchsorted(ends, low + BLOCK, "right")))
-        own = prefix(BYTE_VALUES[data[low : ends[to - 1]]], BASE_WORD)
-        out[k:to] = spans(own, starts[k:to] - low, ends[k:to] - low, BASE_WORD)
-        k = to
-    return mix(out + (ends - starts).astype(np.uint64))
+def word_windows(words: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two Rabin-Karp hashes of every window of `size` words, over independent halves of the words' identities: 128 bits in all."""
+    one, two = word_sums(words)
+    return mix(windows(one, size, BASE_WINDOW)), mix(windows(two, size, BASE_WINDOW_2))
 
 
 def sliding_min(values: np.ndarray, size: int) -> np.ndarray:

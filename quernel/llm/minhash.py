@@ -10,9 +10,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_chunks, stage, text_of
+from .common import byte_chunks, release, stage, text_of, unstage
 from .components import components
-from .hashing import BASE_WINDOW, mix, powers, prefix, windows, word_hashes, words_in
+from .hashing import BASE_WINDOW, BASE_WINDOW_2, mix, powers, windows, word_identities, word_sums, words_in
 
 #: Words in a shingle; documents are linked from this many hundredths of similarity.
 SHINGLE, PERCENT = 5, 75
@@ -20,8 +20,10 @@ SHINGLE, PERCENT = 5, 75
 BINS, BANDS, ROWS = 256, 51, 5
 #: Up to so many shingles a document is found by its least shingles, which is exact, as few shingles leave bins that vary too much.
 SMALL = 64
-#: Members that one task confirms against one centre; rounds of other centres before the pairs that are left are confirmed one by one.
+#: Members that one task confirms against one centre; rounds of other centres before the blocks that are left are compared.
 PER_TASK, ROUNDS = 512, 1
+#: Members of one bucket and size class that meet the others of the bucket in one task.
+BLOCK = 256
 #: A sketch has four bits of each bin. At similarity 0.75 two of 256 bins' sketches differ in 60, give or take 8 at most; beyond this a pair isn't confirmed on full sets.
 PLANES, MOST_DIFFER = 4, 100
 #: Words of 64 bits in the bitmap of a set's hashes. Each shingle that only one of two sets has turns one bit at most, so bitmaps never rule out a pair that is similar enough.
@@ -31,29 +33,29 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
-def shingles(texts: list[bytes], size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-    """(text, hash), sorted, each once: the shingles of lower-cased texts. A text of fewer words is one shingle; one without words has none."""
+def shingles(texts: list[bytes], size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, hash, second hash), sorted, each once: the shingles of lower-cased texts, by 128 bits over their words' identities. A text of fewer words is one
+    shingle; one without words has none."""
     data = _LOWER[np.frombuffer(b"\n".join(texts), np.uint8)]
     begins = np.cumsum([0] + [len(x) + 1 for x in texts])
     starts, ends = words_in(data)
-    sums = prefix(word_hashes(data, starts, ends), BASE_WINDOW)
+    sums = word_sums(word_identities(data, starts, ends))
     first = np.searchsorted(starts, begins)
     n = np.diff(first)
     at = np.arange(max(0, len(starts) - size + 1))
     doc = np.repeat(np.arange(len(texts)), n)[: len(at)]
     inside = at + size <= first[doc + 1]
-    value = mix(windows(sums, size, BASE_WINDOW))[inside]
-    doc = doc[inside]
+    doc, values = doc[inside], [mix(windows(s, size, base))[inside] for s, base in zip(sums, (BASE_WINDOW, BASE_WINDOW_2), strict=True)]
     short = np.flatnonzero((n > 0) & (n < size))
     if len(short):
-        inverse = powers(pow(BASE_WINDOW, -1, 1 << 64), len(sums))
-        own = mix((sums[first[short] + n[short]] - sums[first[short]]) * inverse[first[short]] + (n[short].astype(np.uint64) << np.uint64(58)))
-        doc, value = np.concatenate([doc, short]), np.concatenate([value, own])
-    order = np.lexsort((value, doc))
-    doc, value = doc[order], value[order]
+        a, b, salt = first[short], first[short] + n[short], n[short].astype(np.uint64) << np.uint64(58)
+        own = [mix((s[b] - s[a]) * powers(pow(base, -1, 1 << 64), len(s))[a] + salt) for s, base in zip(sums, (BASE_WINDOW, BASE_WINDOW_2), strict=True)]
+        doc, values = np.concatenate([doc, short]), [np.concatenate(x) for x in zip(values, own, strict=True)]
+    order = np.lexsort((values[0], doc))
+    doc, one, two = doc[order], values[0][order], values[1][order]
     once = np.ones(len(doc), bool)
-    once[1:] = (doc[1:] != doc[:-1]) | (value[1:] != value[:-1])
-    return doc[once], value[once]
+    once[1:] = (doc[1:] != doc[:-1]) | (one[1:] != one[:-1]) | (two[1:] != two[:-1])
+    return doc[once], one[once], two[once]
 
 
 def signature(doc: np.ndarray, value: np.ndarray, n_docs: int, bins: int = BINS) -> np.ndarray:
@@ -130,9 +132,9 @@ def profile(docs: DataFrame, how: Near = Near()) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, raw in byte_chunks(batch):
-                doc, value = shingles(raw, how.shingle)
+                doc, value, second = shingles(raw, how.shingle)
                 edges = np.searchsorted(doc, np.arange(len(raw) + 1))
-                one, two = (np.concatenate([[np.uint64(0)], np.cumsum(mix(value ^ np.uint64(c)))]) for c in (0x243F6A8885A308D3, 0x13198A2E03707344))
+                one, two = (np.concatenate([[np.uint64(0)], np.cumsum(mix(x))]) for x in (value ^ np.uint64(0x243F6A8885A308D3), second))
                 owner, keys, sketch = how.keys(doc, value, len(raw))
                 cuts = pa.array(np.searchsorted(owner, np.arange(len(raw) + 1)), pa.int32())
                 yield pa.RecordBatch.from_arrays(
@@ -146,6 +148,7 @@ def profile(docs: DataFrame, how: Near = Near()) -> DataFrame:
                     ],
                     names=["doc_id", "n_shingles", "one", "two", "keys", "sketch"],
                 )
+        release()
 
     return text_of(docs).mapInArrow(run, "doc_id long, n_shingles long, one long, two long, keys array<long>, sketch array<long>")
 
@@ -165,20 +168,17 @@ def confirm(pairs: DataFrame, texts: DataFrame, how: Near = Near()) -> DataFrame
         u_now, own = None, []
         for batch in batches:
             for part, raw in byte_chunks(batch):
-                doc, value = shingles(raw, how.shingle)
+                doc, value, second = shingles(raw, how.shingle)
                 edges = np.searchsorted(doc, np.arange(len(raw) + 1)).tolist()
                 us, vs = [], []
                 for k, (u, v) in enumerate(zip(part.column("u").to_pylist(), part.column("v").to_pylist(), strict=True)):
-                    mine = value[edges[k] : edges[k + 1]]
+                    mine = value[edges[k] : edges[k + 1]], second[edges[k] : edges[k + 1]]
                     if v is None:
                         own = [*own, mine] if u == u_now else [mine]  # several if rows share an id
                         u_now = u
                         continue
                     for centre in own if u == u_now else []:
-                        both = np.concatenate([centre, mine])
-                        both.sort()
-                        shared = int((both[1:] == both[:-1]).sum())
-                        if shared and 100 * shared >= how.percent * (len(both) - shared):
+                        if linked(centre, mine, how.percent):
                             us.append(u)
                             vs.append(v)
                             break
@@ -188,11 +188,37 @@ def confirm(pairs: DataFrame, texts: DataFrame, how: Near = Near()) -> DataFrame
     return met.select("u", "v", "text").mapInArrow(run, "u long, v long")
 
 
+def linked(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], percent: int) -> bool:
+    """Whether two sets, each as sorted hashes and the second hashes beside them, share enough; both hashes must agree."""
+    _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
+    shared = int((a[1][i] == b[1][j]).sum())
+    return shared > 0 and 100 * shared >= percent * (len(a[0]) + len(b[0]) - shared)
+
+
 def possible(pairs: DataFrame, marks: DataFrame, how: Near = Near()) -> DataFrame:
     """Pairs (u, v) that can be similar enough: the smaller set holds enough of the larger, and the sketches, where both have one, don't differ too much."""
     of = lambda c: marks.select(F.col("doc_id").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}"))
     both = pairs.join(of("u"), "u").join(of("v"), "v")
-    return both.where(close("n_u", "n_v", "s_u", "s_v", how)).select("u", "v")
+    return both.where(close("n_u", "n_v", "s_u", "s_v", how)).select("u", "v").distinct()
+
+
+def crossing(left: DataFrame, how: Near = Near()) -> DataFrame:
+    """Pairs (a, b) of a bucket's members that lie in different components and can be similar enough, each from one bucket.
+
+    left has key, doc_id, comp, n_shingles, sketch and keys (all keys of the document that are still mixed). Members are dealt by bucket and size class, a class spanning a factor
+    of 100 / percent, so partners are in the same class or a neighbouring one; within a class they are dealt out in blocks of BLOCK, so no task holds more than a block of one bucket against
+    a stream of its possible partners, however large the bucket is.
+    """
+    classed = left.withColumn("cls", F.floor(F.log("n_shingles") / F.log(F.lit(100 / how.percent)) + 1e-9).cast("int"))
+    parts = classed.groupBy("key", "cls").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+    names = ("doc_id", "comp", "n_shingles", "sketch", "keys")
+    x = classed.join(parts, ["key", "cls"]).select("key", "cls", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int").alias("part"), *(F.col(c).alias(f"{c}_a") for c in names))
+    y = classed.select("key", F.col("cls").alias("own"), F.explode(F.array("cls", F.col("cls") - 1)).alias("cls"), *(F.col(c).alias(f"{c}_b") for c in names))
+    y = y.join(parts, ["key", "cls"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    once = F.array_min(F.array_intersect("keys_a", "keys_b")) == F.col("key")  # of the buckets that two documents share, the first gives the pair
+    apart = (F.col("comp_a") < F.col("comp_b")) | ((F.col("own") > F.col("cls")) & (F.col("comp_a") != F.col("comp_b")))
+    met = x.join(y, ["key", "cls", "part"]).where(apart & close("n_shingles_a", "n_shingles_b", "sketch_a", "sketch_b", how) & once)
+    return met.select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b"))
 
 
 def close(n_u: str, n_v: str, s_u: str, s_v: str, how: Near) -> Column:
@@ -220,8 +246,8 @@ def near_duplicates(docs: DataFrame, how: Near = Near()) -> DataFrame:
 
     Equal sets are one node, under their least id. In each bucket every member gets one candidate edge, to the bucket's least member, so edges are as
     many as memberships, however large a bucket is. Confirmed edges give components. Buckets whose members then still lie in several components are the only
-    ones where a link can be missing: in a few more rounds each gets another centre, to which members of other components get an edge. At last the pairs that
-    are left, from different components of a bucket, are confirmed too, each from one bucket, so no link that a bucket holds is lost.
+    ones where a link can be missing: they get another centre, to which members of other components get an edge. The buckets that are left are cut by size class and into blocks, and
+    only members of different components whose sizes and sketches allow a link are confirmed, so no link that a bucket holds is lost.
     """
     seen = stage(profile(docs, how), "minhash-profile")
     some = seen.where("n_shingles > 0 and doc_id is not null")
@@ -229,12 +255,14 @@ def near_duplicates(docs: DataFrame, how: Near = Near()) -> DataFrame:
     nodes = classes.select(F.col("node").alias("doc_id")).distinct()
     members = some.join(nodes, "doc_id", "left_semi").select("doc_id", F.explode("keys").alias("key")).repartition("key")
     full = members.groupBy("key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most")
-    buckets = stage(members.join(full, "key"), "minhash-buckets")
+    buckets = stage(members.join(full, "key").distinct(), "minhash-buckets")
 
-    marks = stage(some.join(buckets.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "n_shingles", "sketch").dropDuplicates(["doc_id"]), "minhash-marks")
+    of_rows = some.join(buckets.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "n_shingles", "sketch", "one", "two")
+    marks = stage(of_rows.dropDuplicates(["doc_id", "n_shingles", "one", "two"]).drop("one", "two"), "minhash-marks")  # rows that share an id have a mark each
     tried = stage(possible(buckets.where("doc_id > least").select(F.col("least").alias("u"), F.col("doc_id").alias("v")).distinct(), marks, how), "minhash-stars")
     texts = stage(text_of(docs).join(marks.select("doc_id"), "doc_id", "left_semi"), "minhash-texts")
     links = stage(confirm(tried, texts, how), "minhash-links")
+    done = [buckets, marks, tried, texts, links]
     found = stage(components(links), "minhash-components")
 
     for k in range(ROUNDS + 1):
@@ -247,22 +275,26 @@ def near_duplicates(docs: DataFrame, how: Near = Near()) -> DataFrame:
         else:
             shared = mixed.groupBy("doc_id").agg(F.sort_array(F.collect_set("key")).alias("keys"))  # a document's bands or least shingles at most
             left = stage(mixed.select("key", "doc_id", "comp").join(marks.join(shared, "doc_id"), "doc_id"), "minhash-mixed")
-            x, y = (left.select(F.col("key").alias(f"key_{e}"), F.col("doc_id").alias(e), F.col("comp").alias(f"c_{e}"), F.col("n_shingles").alias(f"n_{e}"), F.col("sketch").alias(f"s_{e}"), F.col("keys").alias(f"keys_{e}")) for e in "ab")
-            once = F.array_min(F.array_intersect("keys_a", "keys_b")) == F.col("key_a")  # of the buckets that two documents share, the first gives the pair
-            pairs = x.join(y, (F.col("key_a") == F.col("key_b")) & (F.col("c_a") < F.col("c_b")) & close("n_a", "n_b", "s_a", "s_b", how) & once).select("a", "b")
+            done.append(left)
+            pairs = crossing(left, how)
         pairs = pairs.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
         if k < ROUNDS:
             pairs = possible(pairs, marks, how)
         rest = stage(pairs.join(tried, ["u", "v"], "left_anti"), "minhash-pairs")
+        done.append(rest)
         if rest.isEmpty():
             continue
         more = stage(confirm(rest, texts, how), "minhash-links")
+        done.append(more)
         tried = tried.unionByName(rest)
         if not more.isEmpty():
             links = links.unionByName(more)
+            done.append(found)
             found = stage(components(links), "minhash-components")
+    for table in done:
+        unstage(table)
 
     placed_class = classes.join(found.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left").select("one", "two", "n_shingles", F.coalesce("component", "node").alias("component"))
-    linked = some.select("doc_id", "n_shingles", "one", "two").join(placed_class, ["one", "two", "n_shingles"]).select("doc_id", "n_shingles", F.col("component").alias("component_id"))
+    linked_rows = some.select("doc_id", "n_shingles", "one", "two").join(placed_class, ["one", "two", "n_shingles"]).select("doc_id", "n_shingles", F.col("component").alias("component_id"))
     alone = seen.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    return linked_rows.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

@@ -5,11 +5,12 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .hashing import BASE_WINDOW, mix, prefix, windows, word_hashes, words_in
+from .common import text_udf
+from .hashing import word_identities, word_windows, words_in
 
 #: Words in a window of the repetition statistic.
 WINDOW = 5
@@ -40,11 +41,13 @@ def text_stats(text: str) -> tuple[int, ...]:
     lines = [x for x in text.split("\n") if x.strip(" \t\n\v\f\r")]
     repeated = same = 0
     if n > 1:
-        words = word_hashes(data, starts, ends)
-        same = int((words[1:] == words[:-1]).sum())
+        words = word_identities(data, starts, ends)
+        same = int((words[:, 1:] == words[:, :-1]).all(axis=0).sum())
         if n > WINDOW:
-            _, which, times = np.unique(mix(windows(prefix(words, BASE_WINDOW), WINDOW, BASE_WINDOW)), return_inverse=True, return_counts=True)
-            twice = np.flatnonzero(times[which] > 1)
+            one, two = word_windows(words, WINDOW)
+            order = np.argsort(one, kind="stable")
+            equal = (one[order[1:]] == one[order[:-1]]) & (two[order[1:]] == two[order[:-1]])
+            twice = np.unique(np.concatenate([order[1:][equal], order[:-1][equal]]))
             if len(twice):
                 edge = np.zeros(n + 1, np.int32)
                 edge[twice] += 1
@@ -59,11 +62,11 @@ NAMES = [x.split(":")[0].strip() for x in STATS[7:-1].split(",")]
 def stats(text: Column) -> Column:
     """A struct of the statistics of a text; null text is one without words."""
 
-    @F.pandas_udf(STATS)
-    def of(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([text_stats(x or "") for x in texts], columns=NAMES)
+    def of(texts: list[str | None]) -> pa.Array:
+        rows = [text_stats(x or "") for x in texts]
+        return pa.StructArray.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(len(NAMES))], names=NAMES)
 
-    return of(text.cast("string"))
+    return text_udf(of, STATS)(text.cast("string"))
 
 
 #: Features that rules may bound, as SQL over the statistics. Ratios of nothing are 0.
@@ -189,11 +192,13 @@ def learn(x: dict[str, np.ndarray], bad: np.ndarray, *, least_precision: float =
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, **how) -> DecisionList:
-    """A list fitted on at most `rows` labelled documents. Labels without an id or quality don't count, repeated ones are averaged (0.5 is good); no labels give an empty list. Rows that the base rule rejects anyway teach nothing and are left out."""
+    """A list fitted on at most `rows` labelled documents. Labels without an id or quality don't count, repeated ones are averaged (0.5 is good); no labels or no documents give an
+    empty list. Of rows that share an id the one with the least text counts. Rows that the base rule rejects anyway teach nothing and are left out."""
     rated = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("label_id")).agg((F.avg("quality") < 0.5).alias("bad"))
     sample = rated.orderBy(F.xxhash64("label_id"), "label_id").limit(rows)  # at most `rows` rows: a proven bound for the broadcast
     own = docs.select(F.col("doc_id").cast("long").alias("label_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "label_id")
-    seen = own.select("bad", stats(F.col("text")).alias("s")).where(~base_failed("s")).select("bad", *(feature(k, "s").alias(k) for k in FEATURES)).toPandas()
+    once = own.groupBy("label_id", "bad").agg(F.min("text").alias("text"))
+    seen = once.select("bad", stats(F.col("text")).alias("s")).where(~base_failed("s")).select("bad", *(feature(k, "s").alias(k) for k in FEATURES)).toPandas()
     return learn({k: seen[k].to_numpy(np.float64) for k in FEATURES}, seen["bad"].to_numpy(bool), **how)
 
 
@@ -202,7 +207,8 @@ def base_failed(stat: str = "") -> Column:
     return F.expr(f"{at}n_words < {LEAST_WORDS} or 100 * {at}n_repeat_words > {MOST_REPEATED} * {at}n_words")
 
 
-def judge(docs: DataFrame, rules: DecisionList) -> DataFrame:
-    """docs with the columns of STATS, base_failed and kept added in a struct `judged`; null text has no words, so it fails the base rule. Other columns stay, a column named judged is replaced."""
-    seen = docs.withColumn("judged", stats(F.col("text")))
-    return seen.withColumn("judged", F.struct("judged.*", base_failed("judged").alias("base_failed"), (~base_failed("judged") & rules.verdict("judged")).alias("kept")))
+def judge(docs: DataFrame, rules: DecisionList, name: str = "judged") -> DataFrame:
+    """docs with the columns of STATS, base_failed and kept added in a struct called `name`; null text has no words, so it fails the base rule. Repeated rows are judged each, and an
+    empty table gives an empty result. Other columns stay, a column of that name is replaced."""
+    seen = docs.withColumn(name, stats(F.col("text")))
+    return seen.withColumn(name, F.struct(f"{name}.*", base_failed(name).alias("base_failed"), (~base_failed(name) & rules.verdict(name)).alias("kept")))

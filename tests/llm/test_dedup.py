@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from conftest import SCHEMA, WORD, by_id, make_texts
 
-from quernel.llm import components, minhash, substring_dedup, suffix_dedup, suffix_sort
+from quernel.llm import components, minhash, quality, substring_dedup, suffix_dedup, suffix_sort
 
 ASCII_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -115,12 +115,48 @@ def test_links_between_members_that_miss_the_centre(spark):
     texts = []
     for k in range(40):
         texts.append(" ".join(words))
-        for _ in range(r.choice([1, 2, 5])):
+        for _ in range(r.choice([1, 2, 5, 40])):
             words[r.randrange(200)] = f"n{r.randrange(10**6)}"
     df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
-    expected = linked({k: shingle_set(t) for k, t in enumerate(texts)})
+    sets = {k: shingle_set(t) for k, t in enumerate(texts)}
+    expected = linked(sets)
     assert {x.doc_id: x.component_id for x in minhash.near_duplicates(df).collect()} == expected
-    assert 1 < len(set(expected.values())) or len(set(expected.values())) == 1
+    assert any(100 * len(sets[k] & sets[c]) < 75 * len(sets[k] | sets[c]) for k, c in expected.items()) and 1 < len(set(expected.values())) < 40
+
+
+def test_a_bucket_of_many_unlike_texts_loses_no_link(spark, monkeypatch):
+    """Short texts around one common line: one bucket holds most of them, links are between few."""
+    monkeypatch.setattr(minhash, "BLOCK", 8)
+    r, texts = random.Random(4), []
+    line = " ".join(f"c{k}" for k in range(30))
+    for k in range(90):
+        t = f"{line} " + " ".join(f"u{r.randrange(10**6)}" for _ in range(r.randint(15, 30)))
+        texts += [t] if k % 3 else [t, t + " more", t[: t.rindex(" ")]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {x.doc_id: x.component_id for x in minhash.near_duplicates(df).collect()} == linked({k: shingle_set(t) for k, t in enumerate(texts)})
+
+
+def test_rows_that_share_an_id_lose_no_link(spark):
+    r = random.Random(6)
+    prose = lambda n: [f"w{r.randrange(10**6)}" for _ in range(n)]
+    a, b, c = prose(120), prose(150), prose(90)
+    rows = [(5, " ".join(a)), (5, " ".join(b)), (5, " ".join(c)), (7, " ".join([*b, "x"])), (8, " ".join([*c, "y"])), (9, " ".join(["z", *a])), (3, " ".join(prose(100)))]
+    out = {(x.doc_id, x.component_id) for x in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out == {(5, 5), (7, 5), (8, 5), (9, 5), (3, 3)}
+
+
+def test_pairs_at_the_threshold_are_found(spark):
+    """Recall against brute force: pairs of long texts just above and below the similarity."""
+    r, rows, expected = random.Random(12), [], {}
+    for k in range(0, 600, 2):
+        n = r.randint(70, 400)
+        one = [f"p{k}x{j}" for j in range(n)]
+        cut = int(n * r.uniform(0.18, 0.32))
+        rows += [(k, " ".join(one)), (k + 1, " ".join(one[cut:]))]
+        a, b = shingle_set(rows[-2][1]), shingle_set(rows[-1][1])
+        expected |= {k: k, k + 1: k if 100 * len(a & b) >= 75 * len(a | b) else k + 1}
+    got = {x.doc_id: x.component_id for x in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == expected and 50 < sum(k != c for k, c in expected.items()) < 250
 
 
 def test_short_texts_are_found_exactly(spark):
@@ -175,3 +211,27 @@ def test_many_tables(spark):
         rows = [(k * 7 % 61, t, "x", "y", 1) for k, t in enumerate(make_texts(seed, 61))]
         out = by_id(minhash.near_duplicates(spark.createDataFrame(rows, SCHEMA)))
         assert {k: v[0].component_id for k, v in out.items()} == linked({k: shingle_set(t) for k, t, *_ in rows})
+
+
+def thue_morse(n: int, letters: str) -> str:
+    """The word whose sums to any base modulo 2^64 equal its complement's, from 1024 letters on."""
+    return "".join(letters[k.bit_count() & 1] for k in range(n))
+
+
+def test_words_and_strings_that_collide_modulo_a_power_of_two(spark):
+    one, two = thue_morse(1024, "ab"), thue_morse(1024, "ba")
+    tail = " ".join(f"w{k}" for k in range(12))
+    rows = [(1, f"{one} {tail}"), (2, f"{two} {tail}"), (3, f"{one} x"), (4, f"{two} x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.n_removed for r in substring_dedup.dedup(df).collect()} == dict.fromkeys(range(1, 5), 0)
+    short = spark.createDataFrame([(1, one), (2, two), (3, f"{one} a b c"), (4, f"{two} a b c")], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in minhash.near_duplicates(short).collect()} == {k: k for k in range(1, 5)}
+    assert quality.text_stats(f"{one} a b c d {two} a b c d")[4] == 0
+    for n in (512, 1024):
+        parts = [thue_morse(n, "ab"), thue_morse(n, "ba")]
+        texts = dict(enumerate([parts[0] + "1", parts[1] + "2", "q" + parts[0], "zz" + parts[1] + parts[0]]))
+        out = {r.doc_id: r for r in suffix_dedup.dedup(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+        seen = Counter(t[i : i + 400] for t in texts.values() for i in range(len(t) - 399))
+        for k, t in texts.items():
+            gone = set().union(*(range(i, i + 400) for i in range(len(t) - 399) if seen[t[i : i + 400]] > 1), ())
+            assert bytes(out[k].kept).decode() == "".join(c for i, c in enumerate(t) if i not in gone)
