@@ -4,13 +4,17 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import text_udf
+
 #: The kinds in the order of the results. The first four are the base kinds.
 KINDS = ("email", "ip", "card", "phone", "secret", "number", "name")
 BASE = KINDS[:4]
@@ -25,8 +29,8 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_HEX = re.compile(r"(?<![A-Za-z0-9])[A-Za-z0-9_-]{20,128}(?![A-Za-z0-9_-])")
-_TITLE = re.compile(r"\b(?:" + "|".join(sorted((re.escape(t) for t in GAZETTEER["name"]), key=len, reverse=True)) + r")\.?[ ]+([^\W\d_]{2,40}(?:[ ]+[^\W\d_]{2,40})?)", re.IGNORECASE)
+_HEX = re.compile(r"(?<![A-Za-z0-9])[A-Za-z0-9_-]{20,}+")
+_TITLE = re.compile(r"\b(?:" + "|".join(sorted((re.escape(t) for t in GAZETTEER["name"]), key=len, reverse=True)) + r")\.?[ ]+([^\W\d_]{2,}+(?:[ ]+[^\W\d_]{2,}+)?)", re.IGNORECASE)
 _DIGITS = re.compile(r"[0-9]")
 _LOCAL_CHARS = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
 
@@ -86,17 +90,16 @@ LABELERS = ("pattern", "gazetteer", "context", "entropy", "length", "neighbour")
 
 
 def candidates(text: str, base: dict[str, list[tuple[int, int]]]) -> list[tuple[str, int, int, tuple[int, ...]]]:
-    """(kind, start, end, votes) for spans beside the base ones: secrets, long numbers and names. Spans that touch a base span are left to it."""
-    taken = sorted(s for own in base.values() for s in own)
-    free = lambda a, b: not any(x < b and a < y for x, y in taken)
+    """(kind, start, end, votes) for spans beside the base ones: secrets, long numbers and names, of any length. Spans that overlap a base span are left to it."""
+    starts, ends = _disjoint(sorted(s for own in base.values() for s in own))
+    free = lambda a, b: (k := bisect_left(ends, a + 1)) == len(ends) or starts[k] >= b  # noqa: E731  the first taken span that ends after a
     found = []
-    lowered = None
     if _DIGITS.search(text):
         for m in _HEX.finditer(text):
             if free(*m.span()) and any(c.isdigit() for c in m.group()) and any(c.isalpha() for c in m.group()):
                 found.append(("secret", *m.span()))
         for a, b, d in runs(text):
-            if 9 <= len(d) <= 34 and free(a, b) and (a == 0 or not text[a - 1].isalnum()) and (b == len(text) or not text[b].isalnum()):
+            if len(d) >= 9 and free(a, b) and (a == 0 or not text[a - 1].isalnum()) and (b == len(text) or not text[b].isalnum()):
                 found.append(("number", a, b))
     if _TITLE.search(text):
         found += [("name", m.start(1), m.end(1)) for m in _TITLE.finditer(text) if m.group(1)[0].isupper() and free(*m.span(1))]
@@ -105,19 +108,32 @@ def candidates(text: str, base: dict[str, list[tuple[int, int]]]) -> list[tuple[
         lowered = text[max(0, a - 32) : a].lower()
         body = text[a:b]
         distinct = len(set(body))
+        digits = sum(map(str.isdigit, body))
         near = re.findall(r"[^\W\d]+", lowered)
         votes = (
-            1 if kind == "name" or kind == "secret" and re.fullmatch(r"[0-9a-f]{32,}", body) else 0 if kind == "number" else -1,
-            1 if any(w in GAZETTEER[kind] for w in near) else 0 if kind == "number" else -1,
+            1 if kind == "name" or kind == "secret" and re.fullmatch(r"[0-9A-Fa-f]{32,}", body) or kind == "number" and 13 <= digits <= 19 else -1 if kind == "secret" else 0,
+            1 if any(w in GAZETTEER[kind] for w in near) else -1,
             1 if re.search(r"[=:]\s*[\"']?\Z", lowered) else 0 if kind == "secret" else -1,
-            (1 if distinct >= 10 else 0) if kind == "secret" else (0 if distinct <= 2 else -1),
-            1 if (32 <= len(body) <= 64 if kind == "secret" else 9 <= len(body) <= 34) else 0,
+            (1 if distinct >= 10 else 0) if kind == "secret" else (0 if distinct <= 2 else 1 if kind == "number" and distinct >= 5 else -1),
+            1 if (len(body) >= 32 if kind == "secret" else digits >= 13 if kind == "number" else len(body) <= 40) else 0,
             1 if text[b : b + 1] in "\"'" and b < len(text) else -1 if kind != "number" else 0 if near and near[-1] in ("version", "page", "no") else -1,
         )
         out.append((kind, a, b, votes))
     return out
 
 
+def _disjoint(spans: list[tuple[int, int]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of the maximal runs that sorted spans cover."""
+    starts, ends = [], []
+    for a, b in spans:
+        if ends and a < ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    return starts, ends
+
+
 @dataclass(frozen=True)
 class Model:
     """reliability: for each labeler, P(says 1 | personal) and P(says 1 | not); weights: of the span classifier over the kind and the votes."""
@@ -163,17 +179,21 @@ def train(patterns: list[tuple[str, tuple[int, ...], int]], rounds: int = 50) ->
 
 
 def fit(docs: DataFrame) -> Model:
-    """A model from the votes on every candidate of every document, counted by pattern in Spark."""
+    """A model from the votes on every candidate of every document, counted by pattern in each text and then in Spark. Repeated rows count each; null texts and empty tables give
+    no candidates, and a model without any accepts none."""
 
-    @F.pandas_udf("array<string>")
-    def voted(texts: pd.Series) -> pd.Series:
-        return pd.Series([[f"{k}:{','.join(map(str, v))}" for k, _, _, v in candidates(x, base_spans(x))] if x else [] for x in texts])
+    def voted(texts: list[str | None]) -> pa.Array:
+        seen = [Counter(f"{k}:{','.join(map(str, v))}" for k, _, _, v in candidates(x, base_spans(x))) if x else {} for x in texts]
+        cuts = np.cumsum([0, *map(len, seen)])
+        pairs = pa.StructArray.from_arrays([pa.array([p for c in seen for p in c], pa.string()), pa.array([n for c in seen for n in c.values()], pa.int64())], names=["p", "n"])
+        return pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pairs)
 
-    counts = docs.where(F.col("text").rlike("[0-9]") | F.col("text").rlike(_TITLE_SQL)).select(F.explode(voted(F.col("text").cast("string"))).alias("pattern")).groupBy("pattern").count()
+    some = docs.where(F.col("text").rlike("[0-9]") | F.col("text").rlike(_TITLE_SQL))
+    votes = text_udf(voted, "array<struct<p: string, n: long>>")(F.col("text").cast("string"))
     found = []
-    for row in counts.orderBy("pattern").collect():  # at most 3 x 3^6 rows
-        kind, votes = row["pattern"].split(":")
-        found.append((kind, tuple(int(v) for v in votes.split(",")), row["count"]))
+    for row in some.select(F.inline(votes)).groupBy("p").agg(F.sum("n").alias("n")).orderBy("p").collect():  # at most 3 x 3^6 rows
+        kind, own = row["p"].split(":")
+        found.append((kind, tuple(int(v) for v in own.split(",")), row["n"]))
     return train(found)
 
 
@@ -195,21 +215,22 @@ def listed(spans: dict[str, list[tuple[int, int]]], kinds: tuple[str, ...]) -> s
     return ",".join(f"{k}:{a}:{b}" for k in kinds for a, b in spans.get(k, ()))
 
 
-FOUND = "struct<n_email: long, n_ip: long, n_card: long, n_phone: long, base_sha256: string, spans: string>"
+FOUND = "struct<n_email: long, n_ip: long, n_card: long, n_phone: long, base_sha256: string, spans: string, n_spans: long>"
 
 
 def find(text: Column, model: Model) -> Column:
-    """A struct of base counts, the digest of the base spans, and all spans as kind:start:end (code points, end exclusive). Null text has none."""
+    """A struct of base counts, the digest of the base spans, all spans as kind:start:end (code points, end exclusive), and their number. Null text has none."""
 
-    @F.pandas_udf(FOUND)
-    def found(texts: pd.Series) -> pd.DataFrame:
+    def found(texts: list[str | None]) -> pa.Array:
         out = []
         for x in texts:
             s = spans_of(x or "", model)
-            out.append((*(len(s[k]) for k in BASE), hashlib.sha256(listed(s, BASE).encode()).hexdigest(), listed(s, KINDS)))
-        return pd.DataFrame(out, columns=["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"])
+            out.append((*(len(s[k]) for k in BASE), hashlib.sha256(listed(s, BASE).encode()).hexdigest(), listed(s, KINDS), sum(map(len, s.values()))))
+        columns = list(zip(*out, strict=True)) or [()] * 7
+        kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.int64()]
+        return pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_spans"])
 
-    return found(text.cast("string"))
+    return text_udf(found, FOUND)(text.cast("string"))
 
 
 def redact_text(text: str, spans: dict[str, list[tuple[int, int]]]) -> str:
@@ -229,8 +250,7 @@ def redact_text(text: str, spans: dict[str, list[tuple[int, int]]]) -> str:
 def redact(text: Column, model: Model) -> Column:
     """The text without its personal data; null stays null."""
 
-    @F.pandas_udf("string")
-    def clean(texts: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None else redact_text(x, spans_of(x, model)) for x in texts], dtype=object)
+    def clean(texts: list[str | None]) -> pa.Array:
+        return pa.array([None if x is None else redact_text(x, spans_of(x, model)) for x in texts], pa.string())
 
-    return clean(text.cast("string"))
+    return text_udf(clean, "string")(text.cast("string"))
