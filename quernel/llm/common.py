@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -62,16 +63,16 @@ def unstage(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
-def byte_chunks(batch: pa.RecordBatch, most: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+def byte_chunks(batch: pa.RecordBatch, most: int = 1 << 20, column: str = "text") -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Slices of a batch whose texts come to about `most` bytes, or one longer text, and the texts as UTF-8; null is empty. The batch is cut by its offsets, so
     no more than a slice becomes Python objects at a time."""
-    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
     k = 0
     while k < len(ends):
         before = int(ends[k - 1]) if k else 0
         to = max(k + 1, int(np.searchsorted(ends, before + most, "right")))
         part = batch.slice(k, to - k)
-        yield part, [x or b"" for x in part.column("text").cast(pa.binary()).to_pylist()]
+        yield part, [x or b"" for x in part.column(column).cast(pa.binary()).to_pylist()]
         k = to
 
 
@@ -79,8 +80,8 @@ _resident: dict[str, object] = {}
 
 
 def resident(name: str, make: Callable[[], object]) -> object:
-    """The one large object that a worker process keeps during a task. Workers outlive their operators, so without release() a pipeline would carry each stage's
-    tables and caches into all later ones."""
+    """The one large object that a worker process keeps, between tasks too, as long as no other operator's task runs in it. Workers outlive their operators, so without release() a
+    pipeline would carry each stage's tables and caches into all later ones."""
     if name not in _resident:
         release()
         _resident[name] = make()
@@ -89,13 +90,15 @@ def resident(name: str, make: Callable[[], object]) -> object:
 
 def release() -> None:
     """Give back what resident() keeps and what allocators hold in this process."""
-    _resident.clear()
+    if _resident:
+        _resident.clear()
+        gc.collect()
     pa.default_memory_pool().release_unused()
 
 
-def text_udf(work: Callable[[list[str | None]], pa.Array], kind: str, most: int = 1 << 20) -> Callable[..., Column]:
+def text_udf(work: Callable[[list[str | None]], pa.Array], kind: str, most: int = 1 << 20, after: Callable[[], None] = release) -> Callable[..., Column]:
     """An Arrow function of a text column. `work` sees slices of about `most` bytes, so what a worker holds doesn't follow the size of an Arrow batch; at the end of a
-    task the worker gives back what it kept."""
+    task `after` gives back what the worker kept."""
 
     @F.arrow_udf(kind)
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -107,6 +110,6 @@ def text_udf(work: Callable[[list[str | None]], pa.Array], kind: str, most: int
                 out.append(work(texts.slice(k, to - k).to_pylist()))
                 k = to
             yield pa.concat_arrays(out) if out else work([])
-        release()
+        after()
 
     return run

@@ -7,30 +7,34 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_chunks, shared_dir, stage, text_of
-from .hashing import BASE_BYTE, BYTE_VALUES, merge_runs, mix, prefix, sliding_min, spans, windows
+from .common import byte_chunks, release, shared_dir, stage, text_of
+from .hashing import BASE_BYTE, BYTE_VALUES, merge_runs, mix, prefix, sliding_min, windows
+from .records import qualified
 from .suffix_sort import repeated_starts
 
 #: Bytes of a string that counts; bytes of the piece of it that stands for it when shards are dealt out.
 LENGTH, PIECE = 400, 64
-#: Bytes from which a shard is sorted; it holds whole anchors, so one with many contexts makes a larger shard.
-SHARD = 1 << 20
+#: Bytes from which a shard is sorted; it holds whole anchors.
+SHARD = 1 << 22
+#: Different contents from which an anchor's shard is split by the bytes around the anchor, and the widths of the classes it is split into, one after the other.
+MANY, WIDTHS = 4096, (42, 6, 1)
 RUN = "array<struct<start: int, end: int>>"
+_RUN = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
 
 def segments(texts: list[bytes], length: int = LENGTH, piece: int = PIECE) -> tuple[np.ndarray, ...]:
-    """(text, first start, number of starts, anchor, hash of the content) of each run of strings that share an anchor.
+    """(text, first start, number of starts, anchor, how far the anchor's piece lies behind the first start) of each run of strings that share an anchor.
 
     A string's anchor is its least piece by hash, the leftmost of equals. Equal strings have equal anchors at the same place, so all that are equal to a
     string start in segments of its anchor: anchors deal the corpus out into shards that no repeat crosses.
     """
     data = np.frombuffer(b"\0".join(texts), np.uint8)
     begins = np.cumsum([0] + [len(x) + 1 for x in texts])
-    sums = prefix(BYTE_VALUES[data], BASE_BYTE)
-    own = mix(windows(sums, piece, BASE_BYTE))
+    own = mix(windows(prefix(BYTE_VALUES[data], BASE_BYTE), piece, BASE_BYTE))
     order = own >> np.uint64(32) << np.uint64(32) | np.arange(len(own), dtype=np.uint64)
     least = (sliding_min(order, length - piece + 1) & np.uint64(0xFFFFFFFF)).astype(np.int64)
     at = np.arange(len(least))
@@ -42,8 +46,101 @@ def segments(texts: list[bytes], length: int = LENGTH, piece: int = PIECE) -> tu
     first = np.flatnonzero(np.concatenate([[True], (least[1:] != least[:-1]) | (doc[1:] != doc[:-1])]))
     n = np.diff(np.append(first, len(at)))
     start = at[first]
-    content = mix(spans(sums, start, start + n + length - 1, BASE_BYTE) + n.astype(np.uint64))
-    return doc[first], start - begins[doc[first]], n, own[least[first]].view(np.int64), content.view(np.int64)
+    return doc[first], start - begins[doc[first]], n, own[least[first]].view(np.int64), least[first] - start
+
+
+def contents(texts: list[bytes], doc: np.ndarray, start: np.ndarray, n: np.ndarray, length: int) -> np.ndarray:
+    """128 bits of xxh3 over the bytes of each segment, two numbers each."""
+    digest = xxhash.xxh3_128_digest
+    found = b"".join(digest(texts[d][a : a + k + length - 1]) for d, a, k in zip(doc.tolist(), start.tolist(), n.tolist(), strict=True))
+    return np.frombuffer(found, "<i8").reshape(-1, 2)
+
+
+def classes(body: bytes, width: int, length: int, piece: int) -> Iterator[tuple[int, int, bytes]]:
+    """(first start, number of starts, key) of the classes of a segment's starts, by how far before the anchor they lie, in steps of `width`. Equal strings lie equally far before
+    it, and all strings of a class hold the bytes that make its key."""
+    n = len(body) - length + 1
+    offset = int(segments([body[:length]], length, piece)[4][0])
+    for j in range(max(0, offset - n + 1) // width, offset // width + 1):
+        near, far = j * width, (j + 1) * width - 1
+        low, high = max(0, offset - far), min(n - 1, offset - near)
+        if low <= high:
+            yield low, high - low + 1, j.to_bytes(4, "little") + body[max(0, offset - near) : offset - far + length]
+
+
+def sorted_runs(bodies: DataFrame, length: int, folder: str) -> DataFrame:
+    """(anchor, one, two, runs): of each content of each anchor the runs of starts whose strings start elsewhere in the anchor's contents too. A task takes its anchors in order and
+    suffix-sorts a shard of whole anchors at a time."""
+
+    def sort_one(seen: dict[tuple, bytes]) -> Iterator[pa.RecordBatch]:
+        keys, out = list(seen), []
+        for starts in repeated_starts(list(seen.values()), length, folder):
+            a, b = merge_runs(starts, starts + 1)
+            out.append([{"start": x, "end": y} for x, y in zip(a.tolist(), b.tolist(), strict=True)])
+        for k in range(0, len(keys), 4096):
+            columns = [pa.array(x, pa.int64()) for x in zip(*keys[k : k + 4096], strict=True)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(out[k : k + 4096], _RUN)], names=["anchor", "one", "two", "runs"])
+
+    def sort_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[tuple, bytes] = {}
+        size, now = 0, None
+        for batch in batches:
+            for part, raw in byte_chunks(batch, column="body"):
+                for *key, body in zip(*(part.column(c).to_pylist() for c in ("anchor", "one", "two")), raw, strict=True):
+                    if key[0] != now and size >= SHARD:
+                        yield from sort_one(seen)
+                        seen, size = {}, 0
+                    now = key[0]
+                    if tuple(key) not in seen:
+                        seen[tuple(key)] = body
+                        size += len(body)
+        if seen:
+            yield from sort_one(seen)
+        release()
+
+    return bodies.select("anchor", "one", "two", "body").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(sort_shards, f"anchor long, one long, two long, runs {RUN}")
+
+
+def split_runs(bodies: DataFrame, length: int, piece: int, folder: str, widths: tuple[int, ...]) -> DataFrame:
+    """The same for anchors with very many contents. Their starts are dealt out again by classes, so contents that differ only far from a start meet as one; equal contents of a class are
+    counted, and a class with many contents is split further. Classes of one start are their strings themselves, so counting ends it."""
+    width, ids = widths[0], ["anchor", "one", "two"]
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, raw in byte_chunks(batch, column="body"):
+                for row, body in zip(range(len(raw)), raw, strict=True):
+                    low, n, key = zip(*classes(body, width, length, piece), strict=True)
+                    m = len(low)
+                    anchor = part.column("anchor")[row].as_py()
+                    of = np.frombuffer(b"".join(xxhash.xxh3_64_digest(k, anchor & (1 << 64) - 1) for k in key), "<i8")
+                    own = contents([body] * m, np.arange(m), np.array(low), np.array(n), length)
+                    again = [pa.array([part.column(c)[row].as_py()] * m, pa.int64()) for c in ids]
+                    bodies = [body[a : a + k + length - 1] for a, k in zip(low, n, strict=True)]
+                    yield pa.RecordBatch.from_arrays([*again, pa.array(low, pa.int32()), pa.array(n, pa.int32()), pa.array(of), pa.array(own[:, 0]), pa.array(own[:, 1]), pa.array(bodies, pa.binary())], names=["a", "b", "c", "low", "n", *ids, "body"])
+
+    parts = stage(bodies.mapInArrow(cut, "a long, b long, c long, low int, n int, anchor long, one long, two long, body binary"), "suffix-classes")
+    kinds = stage(parts.groupBy(*ids).agg(F.count("*").alias("copies"), F.first("n").alias("n")), "suffix-class-kinds")
+    runs = runs_of(kinds, parts.select(*ids, "body"), length, piece, folder, widths[1:])
+    found = parts.join(runs, ids).select(F.col("a").alias("anchor"), F.col("b").alias("one"), F.col("c").alias("two"), F.transform("runs", lambda r: F.struct((r["start"] + F.col("low")).alias("start"), (r["end"] + F.col("low")).alias("end"))).alias("runs"))
+    return found.groupBy(*ids).agg(F.flatten(F.collect_list("runs")).alias("runs"))  # a segment's classes: 336 at most
+
+
+def runs_of(kinds: DataFrame, bodies: DataFrame, length: int, piece: int, folder: str, widths: tuple[int, ...]) -> DataFrame:
+    """(anchor, one, two, runs) for kinds (anchor, one, two, copies, n): contents that occur twice repeat throughout; the others are looked for in their anchor's other contents, by sorting, or
+    first split where there are many. bodies holds the bytes of each content at least once."""
+    ids = ["anchor", "one", "two"]
+    per = stage(kinds.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1"), "suffix-mixed")
+    whole = kinds.where("copies > 1").select(*ids, F.array(F.struct(F.lit(0).alias("start"), F.col("n").alias("end"))).alias("runs"))
+    if per.isEmpty():
+        return whole
+    hot = F.col("kinds") > MANY if widths else F.lit(False)
+    mixed = bodies.join(per, "anchor")
+    found = sorted_runs(mixed.where(~hot), length, folder)
+    if widths and not per.where(hot).isEmpty():
+        once = mixed.where(hot).groupBy(*ids).agg(F.first("body").alias("body"))
+        found = found.unionByName(split_runs(once, length, piece, folder, widths))
+    return whole.unionByName(stage(found, "suffix-runs").join(kinds.where("copies = 1").select(*ids), ids, "left_semi").where("size(runs) > 0"))
 
 
 def dedup(docs: DataFrame, length: int = LENGTH, piece: int = PIECE, *, with_text: bool = True) -> DataFrame:
@@ -52,78 +149,52 @@ def dedup(docs: DataFrame, length: int = LENGTH, piece: int = PIECE, *, with_tex
     A byte goes if it lies in a string of `length` bytes that also starts anywhere else, in its own text included; strings never cross texts and are those of the input.
     So all copies go, the first too. Null text has no bytes. Repeated rows, also under one id or a null id, are texts of their own, and go. An empty table gives an empty result.
 
-    Shards hold the segments of the anchors that occur twice. Equal segments are counted first: all their strings repeat, and one of them stands for all.
-    Where an anchor has different segments, those are suffix-sorted by external induction: a task takes its anchors in order and sorts a shard of whole anchors at a time,
-    with queues in the shared folder once they outgrow memory.
+    Shards hold the segments of the anchors that occur twice. Equal segments (128 bits over their bytes) are counted first: all their strings repeat, and one of them stands for all.
+    Where an anchor has different segments, those are suffix-sorted by external induction, and strings repeat where common prefixes reach `length` bytes; queues go to the shared
+    folder once they outgrow memory. An anchor with more than MANY contents is split by the bytes around it first.
     """
-    folder = f"{shared_dir(docs.sparkSession)}/suffix-queues"
+    folder = f"{qualified(docs.sparkSession, shared_dir(docs.sparkSession))}/suffix-queues"
     rows = text_of(docs).withColumn("row_id", F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))).withColumn("tag", F.xxhash64("text"))
     texts = rows.repartition("row_id")
 
+    def anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, raw in byte_chunks(batch):
+                found, n = np.unique(segments(raw, length, piece)[3], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(n, pa.int64())], names=["anchor", "n"])
+
     def segment_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, raw in byte_chunks(batch):
-                doc, start, n, anchor, content = segments(raw, length, piece)
-                doc = pa.array(doc)
+                doc, start, n, anchor, _ = segments(raw, length, piece)
+                own, of = contents(raw, doc, start, n, length), pa.array(doc)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("row_id").take(doc), part.column("tag").take(doc), pa.array(start, pa.int64()), pa.array(n, pa.int32()), pa.array(anchor, pa.int64()), pa.array(content, pa.int64())],
-                    names=["row_id", "tag", "start", "n", "anchor", "content"],
+                    [part.column("row_id").take(of), part.column("tag").take(of), pa.array(start, pa.int64()), pa.array(n, pa.int32()), pa.array(anchor, pa.int64()), pa.array(own[:, 0]), pa.array(own[:, 1])],
+                    names=["row_id", "tag", "start", "n", "anchor", "one", "two"],
                 )
 
-    every = rows.select("row_id", "tag", "text").mapInArrow(segment_rows, "row_id long, tag long, start long, n int, anchor long, content long")
-    dealt = every.where("anchor is not null").repartition("anchor")
-    twice = dealt.groupBy("anchor").count().where("count > 1").select("anchor")
-    shared = stage(dealt.join(twice, "anchor"), "repeated-anchors")
-    kinds = shared.groupBy("anchor", "content").agg(F.count("*").alias("copies"), F.min(F.struct("row_id", "tag", "start", "n")).alias("one"))
-    by_anchor = Window.partitionBy("anchor")
-    mixed = kinds.withColumn("kinds", F.count("*").over(by_anchor)).where("kinds > 1").select("anchor", "content", "one.*")
+    ids = ["anchor", "one", "two"]
+    counted = rows.select("text").mapInArrow(anchor_rows, "anchor long, n long")
+    twice = stage(counted.groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor"), "suffix-anchors")
+    every = rows.select("row_id", "tag", "text").mapInArrow(segment_rows, "row_id long, tag long, start long, n int, anchor long, one long, two long")
+    shared = stage(every.join(twice, "anchor"), "suffix-segments")
+    kinds = stage(shared.groupBy(*ids).agg(F.count("*").alias("copies"), F.min(F.struct("row_id", "tag", "start", "n")).alias("at")).select(*ids, "copies", "at", F.col("at.n").alias("n")), "suffix-kinds")
 
     def cut_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, raw in byte_chunks(batch):
-                anchors, contents, bodies = [], [], []
+                out: list[tuple] = []
                 for text, wanted in zip(raw, part.column("wanted").to_pylist(), strict=True):
-                    for w in wanted:
-                        anchors.append(w["anchor"])
-                        contents.append(w["content"])
-                        bodies.append(text[w["start"] : w["start"] + w["n"] + length - 1])
-                yield pa.RecordBatch.from_arrays([pa.array(anchors, pa.int64()), pa.array(contents, pa.int64()), pa.array(bodies, pa.binary())], names=["anchor", "content", "body"])
+                    out += [(w["anchor"], w["one"], w["two"], text[w["start"] : w["start"] + w["n"] + length - 1]) for w in wanted]
+                *keys, found = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays([*(pa.array(k, pa.int64()) for k in keys), pa.array(found, pa.binary())], names=[*ids, "body"])
 
-    wanted = mixed.groupBy(F.col("row_id").alias("r"), F.col("tag").alias("t")).agg(F.collect_list(F.struct("anchor", "content", "start", "n")).alias("wanted"))  # as long as the text at most
+    several = kinds.groupBy("anchor").agg(F.count("*").alias("m")).where("m > 1").select("anchor")
+    places = kinds.join(several, "anchor").groupBy(F.col("at.row_id").alias("r"), F.col("at.tag").alias("t")).agg(F.collect_list(F.struct(*ids, "at.start", "at.n")).alias("wanted"))  # as long as the text at most
     # Rows that are equal throughout have one body, so a table with repeated rows may give a body several times; one is kept.
-    bodies = texts.join(wanted.hint("shuffle_hash"), (F.col("row_id") == F.col("r")) & (F.col("tag") == F.col("t"))).select("doc_id", "text", "wanted").mapInArrow(cut_rows, "anchor long, content long, body binary")
-
-    def sort_one(seen: dict[tuple[int, int], bytes]) -> Iterator[pa.RecordBatch]:
-        keys, out = list(seen), []
-        for starts in repeated_starts(list(seen.values()), length, folder):
-            a, b = merge_runs(starts, starts + 1)
-            out.append([{"start": x, "end": y} for x, y in zip(a.tolist(), b.tolist(), strict=True)])
-        for k in range(0, len(keys), 4096):
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([x for x, _ in keys[k : k + 4096]], pa.int64()), pa.array([y for _, y in keys[k : k + 4096]], pa.int64()), pa.array(out[k : k + 4096], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))],
-                names=["a", "c", "runs"],
-            )
-
-    def sort_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[tuple[int, int], bytes] = {}
-        size, now = 0, None
-        for batch in batches:
-            for anchor, content, body in zip(*(batch.column(k) for k in ("anchor", "content", "body")), strict=True):
-                anchor = anchor.as_py()
-                if anchor != now and size >= SHARD:
-                    yield from sort_one(seen)
-                    seen, size = {}, 0
-                now, key = anchor, (anchor, content.as_py())
-                if key not in seen:
-                    seen[key] = body.as_py()
-                    size += len(seen[key])
-        if seen:
-            yield from sort_one(seen)
-
-    sorted_ = bodies.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(sort_shards, f"a long, c long, runs {RUN}")
-    whole = F.array(F.struct(F.lit(0).alias("start"), F.col("one.n").alias("end")))
-    verdict = kinds.join(sorted_, (F.col("anchor") == F.col("a")) & (F.col("content") == F.col("c")), "left").select("anchor", "content", F.when(F.col("copies") > 1, whole).otherwise(F.col("runs")).alias("runs"))
-    hits = shared.join(verdict.where("size(runs) > 0"), ["anchor", "content"])
+    bodies = texts.join(places.hint("shuffle_hash"), (F.col("row_id") == F.col("r")) & (F.col("tag") == F.col("t"))).select("text", "wanted").mapInArrow(cut_rows, "anchor long, one long, two long, body binary")
+    verdict = stage(runs_of(kinds.drop("at"), bodies, length, piece, folder, WIDTHS), "suffix-verdict")
+    hits = shared.join(verdict, ids)
     gone = hits.groupBy(F.col("row_id").alias("r"), F.col("tag").alias("t")).agg(F.collect_list(F.struct("start", "runs")).alias("gone"))
 
     def kept_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -57,23 +57,72 @@ def test_suffix_dedup(docs, rows, length):
             assert r.kept_sha256 == hashlib.sha256(left).hexdigest() and len(r.spans) == runs
 
 
-def test_suffix_order_equals_sorting():
-    r = random.Random(3)
-    for trial in range(300):
-        n, a = r.randint(1, 70), r.choice([1, 2, 3, 30])
-        text = np.array([r.randint(1, a) for _ in range(n)] + [0], np.int16)
-        assert np.concatenate(suffix_sort.suffix_order(text)).tolist() == sorted(range(n + 1), key=lambda i: text[i:].tolist())
+def common_prefix(a, b):
+    k = 0
+    while k < min(len(a), len(b)) and a[k] == b[k]:
+        k += 1
+    return k
 
 
-def test_queues_on_disk_give_the_same(tmp_path):
-    r = random.Random(5)
+def test_suffixes_and_common_prefixes_equal_sorting():
+    r = random.Random(3)
+    for trial in range(300):
+        n, a = r.randint(1, 70), r.choice([1, 2, 3, 30, 400])
+        base = [r.randint(1, a) for _ in range(r.randint(1, 9))]
+        own = [r.randint(1, a) for _ in range(n)] if trial % 3 else (base * 40)[:n]
+        text = np.array([*own, *own[: n // 2 if trial % 5 == 0 else 0], 0], np.int16)
+        down = sorted(range(len(text)), key=lambda i: text[i:].tolist())[::-1]
+        for most in (None, 4, 1000):
+            got = np.concatenate(list(suffix_sort.suffixes_down(text, most if a < 250 else None, step=r.choice([1, 2, 7, 1000]))))
+            assert got["at"].tolist() == down
+            if most and a < 250:
+                assert got["lcp"].tolist() == [0] + [min(most, common_prefix(text[x:].tolist(), text[y:].tolist())) for x, y in zip(down, down[1:])]
+
+
+def test_queues_on_disk_at_every_level_give_the_same(tmp_path, monkeypatch):
+    levels, spills = [], Counter()
+    made, spill = suffix_sort.Induction.__init__, suffix_sort.BucketQueue._spill
+
+    def counted(self, text, *rest):
+        levels.append(len(text))
+        made(self, text, *rest)
+
+    def spilled(self):
+        spills[len(levels)] += 1
+        spill(self)
+
+    monkeypatch.setattr(suffix_sort.Induction, "__init__", counted)
+    monkeypatch.setattr(suffix_sort.BucketQueue, "_spill", spilled)
+    r, deepest = random.Random(5), 0
     for trial in range(30):
+        levels.clear()
+        spills.clear()
+        # words of words: every level of the recursion still has repeats
         pieces = [bytes(r.choice(b"ab") for _ in range(r.randint(0, 50))) for _ in range(6)]
+        pieces += [b"".join(r.choice(pieces[:3]) for _ in range(20)) for _ in range(3)]
+        spilled_out = suffix_sort.repeated_starts(pieces, 6, str(tmp_path), 24, step=5)
+        assert all(spills[k + 1] for k, n in enumerate(levels) if n > 8)
+        deepest = max(deepest, len(levels))
         kept = suffix_sort.repeated_starts(pieces, 6)
-        spilled = suffix_sort.repeated_starts(pieces, 6, str(tmp_path), 64)
         seen = Counter(p[i : i + 6] for p in pieces for i in range(len(p) - 5))
-        assert [x.tolist() for x in kept] == [x.tolist() for x in spilled] == [[i for i in range(len(p) - 5) if seen[p[i : i + 6]] > 1] for p in pieces]
-    assert not list(tmp_path.iterdir())
+        assert [x.tolist() for x in kept] == [x.tolist() for x in spilled_out] == [[i for i in range(len(p) - 5) if seen[p[i : i + 6]] > 1] for p in pieces]
+    assert not list(tmp_path.iterdir()) and deepest >= 4
+
+
+def test_anchors_with_many_contents_are_split(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "MANY", 2)
+    r = random.Random(8)
+    letters = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    passage, texts = letters(150), []
+    for k in range(25):
+        a, b = r.randint(0, 60), r.randint(90, 150)
+        texts.append(letters(r.randint(0, 90)) + passage[a:b] + letters(r.randint(0, 90)))
+    texts += [texts[0] + texts[1], texts[2][:100], texts[3]]
+    out = {x.doc_id: x for x in suffix_dedup.dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), length=70, piece=12).collect()}
+    seen = Counter(t[i : i + 70] for t in texts for i in range(len(t) - 69))
+    for k, t in enumerate(texts):
+        gone = set().union(*(range(i, i + 70) for i in range(len(t) - 69) if seen[t[i : i + 70]] > 1), ())
+        assert bytes(out[k].kept).decode() == "".join(c for i, c in enumerate(t) if i not in gone)
 
 
 def shingle_set(text):
