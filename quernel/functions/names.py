@@ -8,28 +8,29 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .arrays import let
+
 #: Variants of one input, at most.
 MOST_VARIANTS = 16
 
 
 def style_key(value: str) -> str:
-    """camelCase, kebab-case and the like as snake_case."""
-    x = re.sub(r"([a-z0-9])([A-Z])", r"\1_\2", re.sub(r"([A-Z]+)([A-Z][a-z])", r"\1_\2", value))
-    return re.sub(r"[^A-Za-z0-9]+", "_", x).strip("_").lower()
+    """camelCase, kebab-case and the like as snake_case: a word ends where an ASCII capital follows a lower-case letter or digit, and at anything but ASCII letters and digits."""
+    return re.sub(r"[^A-Za-z0-9]+", "_", re.sub(r"([a-z0-9])([A-Z])", r"\1_\2", value)).strip("_").lower()
 
 
 def style_key_col(value: Column) -> Column:
-    x = F.regexp_replace(F.regexp_replace(value, "([A-Z]+)([A-Z][a-z])", "$1_$2"), "([a-z0-9])([A-Z])", "$1_$2")
+    x = F.regexp_replace(value, "([a-z0-9])([A-Z])", "$1_$2")
     return F.lower(F.regexp_replace(F.regexp_replace(x, "[^A-Za-z0-9]+", "_"), "^_+|_+$", ""))
 
 
 def without_signature(value: str) -> str:
-    return value.split("(", 1)[0].strip()
+    return value.split("(", 1)[0].strip() if "(" in value else value
 
 
 def qualified_tail(value: str) -> str:
-    """After the last of . : # $; the signature is taken off first, so dots in an argument list don't count."""
-    return re.split(r"[.:#$]", without_signature(value))[-1]
+    """After the last of . : # $."""
+    return re.split(r"[.:#$]", value.strip())[-1].strip()
 
 
 def last_identifier(value: str) -> str:
@@ -37,34 +38,57 @@ def last_identifier(value: str) -> str:
     return found[-1] if found else value
 
 
+def last_identifier_col(value: Column) -> Column:
+    found = F.regexp_extract(value, r"([A-Za-z0-9_]+)[^A-Za-z0-9_]*$", 1)
+    return F.when(found == "", value).otherwise(found)
+
+
+def method_base_col(value: Column) -> Column:
+    """The last identifier before a signature."""
+    return last_identifier_col(F.split_part(value, F.lit("("), F.lit(1)))
+
+
 def variants(text: str) -> list[tuple[str, str]]:
-    """(value, kind) in the order in which they are tried, each value once: as typed, trimmed, without signature, tail, style keys, folded."""
-    base = [("raw", text), ("trimmed", text.strip()), ("signature_base", without_signature(text)), ("qualified_tail", qualified_tail(text))]
-    out, seen = [], set()
-    for kind, value in [*base, *(("style_key", style_key(v)) for _, v in base), *(("case_fold", v.lower()) for _, v in base)]:
-        if value and value not in seen:
-            seen.add(value)
-            out.append((value, kind))
-    return out[:MOST_VARIANTS]
+    """(value, kind) in the order in which they are tried, each pair once: as typed, trimmed, without signature, tail, tail without signature, style keys, folded."""
+    trimmed = text.strip()
+    base, tail = without_signature(trimmed), qualified_tail(trimmed)
+    sources = (trimmed, base, tail, without_signature(tail))
+    every = [(text, "raw"), (trimmed, "trimmed"), (base, "signature_base"), (tail, "qualified_tail"), (sources[3], "signature_tail")]
+    every += [(style_key(v), "style_key") for v in sources] + [(v.lower(), "case_fold") for v in sources]
+    return list(dict.fromkeys(v for v in every if v[0]))[:MOST_VARIANTS]
+
+
+ASCII_UPPER, ASCII_LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def match_variant(name: Column, text: str, *, contains: bool = False, case_sensitive: bool = False) -> Column:
-    """The first variant of text that a name matches, as a struct (ordinal, value, kind), or null. Exact matches fold ASCII case only."""
-    found = F.lit(None).cast("struct<ordinal: int, value: string, kind: string>")
-    for k, (value, kind) in reversed(list(enumerate(variants(text)))):
-        if kind == "style_key":
-            hit = style_key_col(name).contains(value) if contains else style_key_col(name) == value
-        elif contains:
-            hit = name.contains(value) if case_sensitive else F.lower(name).contains(value.lower())
-        else:
-            hit = name == value if case_sensitive else F.translate(name, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz") == value.lower()
-        found = F.when(hit, F.struct(F.lit(k).alias("ordinal"), F.lit(value).alias("value"), F.lit(kind).alias("kind"))).otherwise(found)
-    return found
+    """The first variant of text that a name matches, as a struct (ordinal, value, kind), or null. Exact matches fold ASCII case only, others all case; folded variants only count where
+    case doesn't."""
+
+    def first(bound: Column) -> Column:
+        n, folded, lowered, style = bound["n"], bound["a"], bound["l"], bound["s"]
+        found = F.lit(None).cast("struct<ordinal: int, value: string, kind: string>")
+        for k, (value, kind) in reversed(list(enumerate(variants(text)))):
+            if kind == "case_fold" and case_sensitive:
+                continue
+            if kind == "style_key":
+                hit = style.contains(value) if contains else style == value
+            elif kind == "case_fold":
+                hit = lowered.contains(value) if contains else lowered == value
+            elif contains:
+                hit = n.contains(value) if case_sensitive else lowered.contains(value.lower())
+            else:
+                hit = n == value if case_sensitive else folded == value.translate(str.maketrans(ASCII_UPPER, ASCII_LOWER))
+            found = F.when(hit, F.struct(F.lit(k).alias("ordinal"), F.lit(value).alias("value"), F.lit(kind).alias("kind"))).otherwise(found)
+        return found
+
+    return let(F.struct(name.alias("n"), F.translate(name, ASCII_UPPER, ASCII_LOWER).alias("a"), F.lower(name).alias("l"), style_key_col(name).alias("s")), first)
 
 
 def needs_expansion(text: str) -> bool:
-    """Whether an empty precise answer may fall back to the parser's: the input isn't a plain identifier."""
-    return text != text.strip() or any(v != text for v, k in variants(text) if k in ("signature_base", "qualified_tail", "style_key"))
+    """Whether an empty precise answer may fall back to the parser's: the input has blanks around it, a signature, a qualifier, an underscore or a dash."""
+    trimmed = text.strip()
+    return trimmed != text or without_signature(trimmed) != trimmed or qualified_tail(trimmed) != trimmed or "_" in trimmed or "-" in trimmed
 
 
 def like_method(identifier: str) -> str | None:

@@ -8,6 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import any_of
+
 MODES = ("literal", "regex", "wildcard", "glob")
 TARGETS = ("content", "path")
 
@@ -99,6 +101,15 @@ class Pattern:
     def regex(self) -> str:
         return self.body if self.case_sensitive else f"(?iu){self.body}"
 
+    def may_match(self, value: Column) -> Column:
+        """True wherever a content pattern could match, without a regex: literals by containment in lower-cased text. Four characters outside ASCII fold to ASCII letters although their
+        lower case differs, so values that hold one stay."""
+        if self.mode != "literal" or self.target != "content" or not self.text.isascii():
+            return F.lit(True)
+        if self.case_sensitive:
+            return value.contains(self.text)
+        return any_of([F.lower(value).contains(self.text.lower()), *(value.contains(c) for c in "\u017f\u212a\u0130\u0131")])
+
     @property
     def within_lines(self) -> bool:
         """Whether no match can hold a line break, so that lines can be searched one by one."""
@@ -119,17 +130,19 @@ class Pattern:
         return value.rlike(self.regex)
 
 
-#: Words that are too common to list all hits of without being asked to.
-BROAD_LITERALS = ("class", "const", "data", "def", "error", "fn", "func", "function", "get", "id", "import", "let", "name", "return", "test", "use", "var")
+#: Literals, path patterns and regexes that are too common to list all hits of without being asked to.
+BROAD_LITERALS = ("", "*", "public", "private", "protected", "class", "function", "fn", "let", "const", "var", "if", "for", "while", "return", "import", "export")
 BROAD_PATHS = ("", "*", "**", "**/*", ".*")
 BROAD_REGEXES = (".*", ".+", "^.*$", "^.+$")
 
 
-def broad_reason(kind: str, pattern: str, mode: str = "literal") -> str | None:
-    """Why a query is broad, or None. kind is 'content' or 'path'."""
+def broad_reason(kind: str, pattern: str, mode: str | None = None) -> str | None:
+    """Why a query of a kind (files, glob, find, refs, ...) is broad, or None. Literals are compared as they are, case included; one character is always broad."""
     text = pattern.strip()
-    if kind == "path":
-        return "broad_path" if text in BROAD_PATHS else None
-    if mode == "regex":
-        return "broad_regex" if text in BROAD_REGEXES else None
-    return "broad_literal" if len(text) <= 1 or text.lower() in BROAD_LITERALS else None
+    if kind in ("files", "glob") and text in BROAD_PATHS:
+        return "broad_path_pattern"
+    if mode == "regex" and text in BROAD_REGEXES:
+        return "broad_regex_pattern"
+    if kind in ("find", "refs") and (text in BROAD_LITERALS or len(text) <= 1):
+        return "broad_literal_pattern"
+    return None

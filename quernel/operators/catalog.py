@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import json
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import is_binary, language_of, line_offsets, skipped_dir, trigrams
+from ..functions.text import BINARY_PREFIX, gram_part_col, is_binary, language_of, line_offsets, parent_dir, skipped_dir, trigrams
 
 
-def scan(files: DataFrame, scope=None, no_ignore: bool = False) -> DataFrame:
-    """Raw files (path, content binary or string, ...) with language, and skip_reason where one is left out: generated, binary or scope."""
+def scan(files: DataFrame, scope=None, no_ignore: bool = False, binary_prefix: int | None = BINARY_PREFIX) -> DataFrame:
+    """Raw files (path, content binary or string, ...) with language, and skip_reason where one is left out: generated, ignored (by rules that were joined before), unreadable,
+    binary (a zero byte among the first bytes, or anywhere for None) or scope."""
     body = F.col("content").cast("binary")
-    reason = F.when(skipped_dir(F.col("path"), no_ignore), "generated").when(body.isNull(), "unreadable").when(is_binary(body), "binary")
+    ignored = F.col("ignored") if "ignored" in files.columns and not no_ignore else F.lit(False)
+    reason = F.when(skipped_dir(F.col("path"), no_ignore), "generated").when(ignored, "ignored").when(body.isNull(), "unreadable").when(is_binary(body, binary_prefix), "binary")
     if scope is not None:
         reason = F.coalesce(reason, F.when(~scope.predicate(F.col("path"), language_of(F.col("path"))), "scope"))
     out = files if "language" in files.columns else files.withColumn("language", language_of(F.col("path")))
@@ -55,22 +59,75 @@ def with_proofs(catalog: DataFrame, proof: DataFrame) -> DataFrame:
     return catalog.join(proof.select("path", "hash"), "path", "left").withColumn("hash", F.coalesce("hash", F.lit("missing_proof")))
 
 
-def write_snapshot(tables: dict[str, DataFrame], folder: str, snapshot: str) -> None:
-    """Replace a snapshot's rows in each table; the manifest comes last, so a reader never sees half of one."""
-    key = "".join(c if c.isalnum() or c in "-_." else "_" for c in snapshot)
-    manifest = None
+def with_ignored(files: DataFrame, name: str = ".gitignore") -> DataFrame:
+    """files with `ignored`: whether the last matching line of the ignore files in the directories above says so. Lines are rules of their directory; ! takes back, a slash anchors, a
+    slash at the end means directories, whose files all go with them. Files meet the rules of their ancestors by equality."""
+    own = files.where((F.col("path") == name) | F.col("path").endswith("/" + name))
+    line = own.select(parent_dir(F.col("path")).alias("base"), F.posexplode(F.split(F.regexp_replace(F.col("content").cast("string"), "\r", ""), "\n")).alias("n", "rule"))
+    line = line.withColumn("rule", F.regexp_replace("rule", r"\s+$", "")).where("rule <> '' and not startswith(rule, '#')")
+    body = F.regexp_replace("rule", "^!", "")
+    anchored = F.regexp_replace(body, "/$", "").contains("/")
+    glob = F.regexp_replace(F.regexp_replace(F.regexp_replace(body, "^/", ""), "/$", ""), r"([.+^$()|{}\\])", r"\\$1")
+    for a, b in ((r"\*\*/", "\u0001"), (r"\*\*", "\u0002"), (r"\*", "[^/]*"), (r"\?", "[^/]"), ("\u0001", "(?:.*/)?"), ("\u0002", ".*")):
+        glob = F.regexp_replace(glob, a, b)
+    regex = F.concat(F.when(anchored, "^").otherwise("(?:^|/)"), glob, F.when(body.endswith("/"), "/").otherwise("(?:/|$)"))
+    rules = line.select("base", "n", F.col("rule").startswith("!").alias("back"), regex.alias("regex"))
+    parts = F.split("path", "/")
+    up = F.explode(F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda k: F.struct(F.array_join(F.slice(parts, F.lit(1), k), "/").alias("base"), F.array_join(F.slice(parts, k + 1, F.size(parts)), "/").alias("rest"))))
+    hits = files.select("path", up.alias("u")).select("path", "u.*").join(rules, "base").where(F.expr("rlike(rest, regex)"))
+    verdict = hits.groupBy("path").agg(F.max_by("back", F.struct(F.length("base"), "n")).alias("back"))
+    return files.join(verdict, "path", "left").withColumn("ignored", ~F.coalesce("back", F.lit(True))).drop("back")
+
+
+def snapshot_key(snapshot: str) -> str:
+    return "".join(c if c.isalnum() or c in "-_." else "_" for c in snapshot)
+
+
+def write_snapshot(tables: dict[str, DataFrame], folder: str, snapshot: str, **facts: str) -> None:
+    """Replace a snapshot's rows in each table; the manifest comes last, so a reader never sees half of one. Grams are dealt into parts and sorted, for searches to read few."""
+    key, spark = snapshot_key(snapshot), None
     for name, df in tables.items():
-        own = df.withColumn("snapshot", F.lit(snapshot)).withColumn("snapshot_key", F.lit(key))
-        own.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("snapshot_key").parquet(f"{folder}/{name}")
-        manifest = df.sparkSession
-    if manifest is not None:
-        row = manifest.createDataFrame([(snapshot, ",".join(sorted(tables)))], "snapshot string, tables string").withColumn("created_at", F.current_timestamp()).withColumn("snapshot_key", F.lit(key))
+        own, by = df.withColumn("snapshot", F.lit(snapshot)).withColumn("snapshot_key", F.lit(key)), ["snapshot_key"]
+        if name == "grams":
+            own, by = own.withColumn("gram_part", gram_part_col(F.col("gram"))).repartition("gram_part").sortWithinPartitions("gram_part", "gram"), ["snapshot_key", "gram_part"]
+        own.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(f"{folder}/{name}")
+        spark = df.sparkSession
+    if spark is not None:
+        row = spark.createDataFrame([(snapshot, ",".join(sorted(tables)), json.dumps(facts, sort_keys=True))], "snapshot string, tables string, facts string").withColumn("created_at", F.current_timestamp()).withColumn("snapshot_key", F.lit(key))
         row.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("snapshot_key").parquet(f"{folder}/manifest")
 
 
-def read_snapshot(spark: SparkSession, folder: str, name: str, snapshot: str) -> DataFrame:
-    key = "".join(c if c.isalnum() or c in "-_." else "_" for c in snapshot)
-    return spark.read.parquet(f"{folder}/{name}").where(F.col("snapshot_key") == key).drop("snapshot", "snapshot_key")
+def read_snapshot(spark: SparkSession, folder: str, name: str, snapshot: str, schema: str | None = None) -> DataFrame:
+    """A table's rows of a snapshot; with a schema a table without any is empty."""
+    if schema is not None and not exists(spark, f"{folder}/{name}/snapshot_key={snapshot_key(snapshot)}"):
+        return spark.createDataFrame([], schema)
+    return spark.read.parquet(f"{folder}/{name}").where(F.col("snapshot_key") == snapshot_key(snapshot)).drop("snapshot", "snapshot_key")
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    own = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return own.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(own)
+
+
+def remove(spark: SparkSession, path: str) -> bool:
+    """Delete a folder; whether there was one."""
+    own = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return own.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(own, True)
+
+
+def manifest(spark: SparkSession, folder: str, snapshot: str) -> dict | None:
+    """The newest manifest of a snapshot, None if the snapshot isn't whole."""
+    if not exists(spark, f"{folder}/manifest"):
+        return None
+    rows = spark.read.parquet(f"{folder}/manifest").where(F.col("snapshot_key") == snapshot_key(snapshot))
+    found = latest(rows.withColumnRenamed("snapshot", "snapshot_id")).first()
+    return None if found is None else {"snapshot": found["snapshot_id"], "tables": found["tables"].split(","), "facts": json.loads(found["facts"])}
+
+
+def drop_snapshot(spark: SparkSession, folder: str, snapshot: str, tables: tuple[str, ...] = ("manifest", "catalog", "proofs", "grams")) -> None:
+    """Delete a snapshot's rows, its manifest first, so no reader takes the rest for whole."""
+    for name in tables:
+        remove(spark, f"{folder}/{name}/snapshot_key={snapshot_key(snapshot)}")
 
 
 def latest(snapshots: DataFrame) -> DataFrame:
@@ -103,6 +160,16 @@ def overlay(indexed: DataFrame, current: DataFrame) -> DataFrame:
     return stay.unionByName(live)
 
 
-def set_digest(rows: DataFrame, by: list[str], value) -> DataFrame:
-    """An order-independent digest of each group's sorted values. A group's values meet in one row: for roots and sources, not for unbounded keys."""
-    return rows.groupBy(*by).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(value)), "\n"), 256).alias("digest"), F.count("*").alias("n"))
+def added(indexed: DataFrame, current: DataFrame) -> DataFrame:
+    """Current files that no indexed path names."""
+    return current.join(indexed.select("path"), "path", "left_anti")
+
+
+def set_digest(rows: DataFrame, by: list[str], value: Column) -> DataFrame:
+    """digest and n of each group's values, in any order and with repeats: the sums of eight 32-bit parts of their SHA-256 digests modulo 2^61, so values are never gathered and tasks
+    add up what they hold."""
+    parts = [F.conv(F.substring(F.col("v_digest"), 1 + 8 * k, 8), 16, 10).cast("decimal(38,0)") for k in range(8)]
+    each = rows.withColumn("v_digest", F.sha2(value, 256))
+    sums = each.groupBy(*by).agg(*(F.sum(p).alias(f"s{k}") for k, p in enumerate(parts)), F.count("*").alias("n"))
+    lane = lambda k: F.lpad(F.lower(F.hex((F.col(f"s{k}") % (1 << 61)).cast("long"))), 16, "0")
+    return sums.select(*by, F.concat(*(lane(k) for k in range(8))).alias("digest"), "n")

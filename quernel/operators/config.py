@@ -11,17 +11,26 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import SECRET_TERMS
+from ..functions.text import MASK, PREVIEW, SECRET_TERMS
+from . import project
 
-#: Bytes of a file that are looked at, and characters of a preview. Longer files carry the caveat `truncated`.
-MOST_BYTES, PREVIEW = 256 << 10, 160
+#: Bytes of a file that are looked at unless more are asked for. Longer files carry the caveat `large_file_truncated`.
+MOST_BYTES = 256 << 10
 FACTS = "path string, kind string, key_path string, name string, line int, preview string, masked boolean, caveats array<string>"
 
 
 def is_secret(value: str) -> bool:
     low = value.lower()
     bare = re.sub("[^a-z0-9]", "", low)
-    return any(t in low or t in bare for t in SECRET_TERMS)
+    return any(t in low or t.replace("_", "") in bare for t in SECRET_TERMS)
+
+
+def preview(context: str, value: str) -> tuple[str, bool]:
+    """(what is shown of a value, whether it is masked)."""
+    if is_secret(context) or is_secret(value):
+        return MASK, True
+    bare = value.strip().strip('"').strip("'")
+    return bare[:PREVIEW] + "..." * (len(bare) > PREVIEW), False
 
 
 def flatten(value, path: str = "") -> Iterator[tuple[str, object]]:
@@ -118,34 +127,43 @@ def facts_of(path: str, text: str) -> Iterator[tuple]:
             yield "source_fallback", None, name, 0, text[:PREVIEW]
 
 
-def extract(files: DataFrame) -> DataFrame:
-    """Facts of each file; lines are 0-based, values of secret keys or secret-like values are masked. Files of other kinds give none."""
+def extract(files: DataFrame, most_bytes: int | None = MOST_BYTES) -> DataFrame:
+    """Facts of each file; lines are 0-based, values of secret keys or secret-like values are masked. Files of other kinds give none. most_bytes None looks at whole files."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
             for path, text in zip(b["path"], b["content"], strict=True):
                 raw = (text or "").encode()
-                cut = raw[:MOST_BYTES].decode(errors="ignore")
+                long = most_bytes is not None and len(raw) > most_bytes
+                cut = raw[:most_bytes].decode(errors="ignore") if long else text or ""
                 for kind, key, name, line, value in facts_of(path, cut):
-                    secret = is_secret(key or "") or is_secret(str(value))
-                    caveats = ["truncated"] * (len(raw) > MOST_BYTES) + ["masked_value"] * secret + ["parse_failed"] * (kind == "source_fallback")
-                    out.append((path, kind, key, name, line, "***" if secret else str(value)[:PREVIEW], secret, caveats))
+                    shown, secret = preview(".".join(x for x in (key, name) if x), str(value))
+                    caveats = ["large_file_truncated"] * long + ["secret_masked"] * secret + ["parse_failure"] * (kind == "source_fallback")
+                    out.append((path, kind, key, name, line, shown, secret, caveats))
             yield pd.DataFrame(out, columns=["path", "kind", "key_path", "name", "line", "preview", "masked", "caveats"])
 
     return files.select("path", F.col("content").cast("string").alias("content")).mapInPandas(run, FACTS)
 
 
+def workspace_facts(files: DataFrame, roots: DataFrame, most_bytes: int | None = MOST_BYTES) -> DataFrame:
+    """Facts of the configuration and environment files of a workspace, with what they concern."""
+    edges = project.config_edges(files, roots)
+    every = edges.select("path", "affected", "all_roots", "unresolved").unionByName(project.environment_edges(files, roots).select("path", F.array().cast("array<string>").alias("affected"), "all_roots", "unresolved"))
+    own = files.join(every.select("path").distinct(), "path", "left_semi")
+    return with_edges(extract(own, most_bytes), every)
+
+
 def with_edges(facts: DataFrame, edges: DataFrame) -> DataFrame:
-    """facts with affected (union of the edges' roots) and unresolved (any edge is)."""
-    by_path = edges.groupBy("path").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("affected")))).alias("affected"), F.bool_or("unresolved").alias("unresolved"))
+    """facts with affected (union of the edges' roots), all_roots (any edge concerns all) and unresolved (any edge is)."""
+    by_path = edges.groupBy("path").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("affected")))).alias("affected"), F.bool_or("all_roots").alias("all_roots"), F.bool_or("unresolved").alias("unresolved"))  # two edges a file at most
     return facts.join(by_path, "path", "left")
 
 
 def key_matches(key: Column, query: str) -> Column:
-    """Equal, a dotted tail, or a part, ignoring case."""
-    low, q = F.lower(key), query.lower()
-    return (low == q) | low.endswith("." + q) | low.contains(q)
+    """Equal to the trimmed query, a dotted tail of the key, or a part of it; case counts."""
+    q = query.strip()
+    return (key == q) | key.endswith("." + q) | key.contains(q)
 
 
 def json_leaves(rows: DataFrame, key: str, column: str) -> DataFrame:

@@ -121,8 +121,8 @@ def brace_candidates(text: str, language: str) -> Iterator[tuple]:
         yield row
 
 
-def candidates(files: DataFrame, most: int = PER_FILE) -> DataFrame:
-    """Candidates of each source file in order of appearance; other languages give none."""
+def candidates(files: DataFrame, most: int | None = PER_FILE) -> DataFrame:
+    """Candidates of each source file in order of appearance, `most` of a file, or all for None; other languages give none."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -134,7 +134,7 @@ def candidates(files: DataFrame, most: int = PER_FILE) -> DataFrame:
                 for k, row in enumerate(rows):
                     if k == most:
                         break
-                    out.append((path, language, *row, k, BLIND_SPOTS[language] + ["budget"] * (k == most - 1)))
+                    out.append((path, language, *row, k, BLIND_SPOTS[language] + ["budget"] * (most is not None and k == most - 1)))
             yield pd.DataFrame(out, columns=[c.strip().split(" ")[0] for c in CANDIDATES.split(", ")])
 
     return files.select("path", "language", F.col("content").cast("string").alias("content")).mapInPandas(run, CANDIDATES)

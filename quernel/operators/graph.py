@@ -2,23 +2,38 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.names import display_name, like_method, match_variant, symbol_key
+from ..functions.names import display_name, last_identifier_col, like_method, match_variant, method_base_col, symbol_key, upsert_symbols
 
 #: Symbol kinds of the interchange format that have names.
 KINDS = {3: "array", 7: "class", 8: "constant", 9: "constructor", 11: "enum", 12: "enummember", 15: "field", 17: "function", 21: "interface", 26: "method", 29: "module", 30: "namespace", 33: "object", 35: "package", 41: "property", 49: "struct", 54: "type", 61: "variable"}
 
 
+SCIP_JSON = "documents array<struct<relativePath: string, language: string, occurrences: array<struct<range: array<bigint>, symbol: string, symbolRoles: bigint>>, symbols: array<struct<symbol: string, displayName: string, kind: string>>>>"
+
+
 def read_scip_json(spark: SparkSession, path: str) -> DataFrame:
     """Occurrences from an index in JSON: documents with occurrences (range of 3 or 4 numbers, 0-based) and symbols; rows are 1-based, ends exclusive."""
-    schema = "documents array<struct<relativePath: string, language: string, occurrences: array<struct<range: array<bigint>, symbol: string, symbolRoles: bigint>>, symbols: array<struct<symbol: string, displayName: string, kind: string>>>>"
-    d = spark.read.schema(schema).option("multiLine", "true").json(path).select(F.explode("documents").alias("d")).select("d.*")
-    occ = d.select(F.col("relativePath").alias("path"), "language", F.explode("occurrences").alias("o"))
-    sym = d.select(F.col("relativePath").alias("path"), F.explode("symbols").alias("s")).select(symbol_key(F.col("path"), F.col("s.symbol")).alias("symbol_key"), F.col("s.displayName").alias("name"), F.lower("s.kind").alias("kind"), F.lit("").alias("language"), F.monotonically_increasing_id().alias("seq"))
-    from ..functions.names import upsert_symbols
+    return occurrences(spark.read.schema(SCIP_JSON).option("multiLine", "true").json(path).select(F.explode("documents").alias("d")).select("d.*"))
+
+
+def kind_name(kind: Column) -> Column:
+    """A kind as its lower-cased name, or by its number; symbol for others."""
+    names = F.create_map(*(F.lit(x) for k, v in KINDS.items() for x in (str(k), v)))
+    return F.coalesce(F.try_element_at(names, kind), F.when(~kind.rlike("^[0-9]*$"), F.lower(kind)), F.lit("symbol"))
 
+
+def occurrences(documents: DataFrame) -> DataFrame:
+    """Occurrences with the merged names and kinds of their symbols, from documents (relativePath, language, occurrences, symbols). Occurrences without a symbol or with another
+    number of positions are left out."""
+    occ = documents.select(F.col("relativePath").alias("path"), "language", F.explode("occurrences").alias("o")).where("o.symbol <> ''")
+    sym = documents.select(F.col("relativePath").alias("path"), "language", F.posexplode("symbols").alias("k", "s"))
+    sym = sym.select(symbol_key(F.col("path"), F.col("s.symbol")).alias("symbol_key"), F.col("s.displayName").alias("name"), kind_name(F.col("s.kind")).alias("kind"), "language", F.struct("path", "k").alias("seq"))
     r = F.col("o.range")
     four = F.size(r) == 4
     rows = occ.where(F.size("o.range").isin(3, 4)).select(
@@ -50,16 +65,45 @@ def occurrences_fresh(occ_files: DataFrame, current: DataFrame) -> DataFrame:
     return joined.agg((F.coalesce(F.bool_and(F.coalesce(F.col("hash") == F.col("now"), F.lit(False))), F.lit(False)) & (F.count("*") > 0)).alias("usable"))
 
 
+def joined_symbols(occ: DataFrame, symbols: DataFrame) -> DataFrame:
+    """Occurrences (symbol_key, ...) with the name and kind of their symbols (symbol_key, name, kind): an inner join, so occurrences of unknown symbols go."""
+    return occ.drop("name", "kind").join(symbols.select("symbol_key", "name", "kind"), "symbol_key")
+
+
+def in_scope(rows: DataFrame, files: DataFrame) -> DataFrame:
+    """Rows whose path is among the files that a scope lets through."""
+    return rows.join(files.select("path").distinct(), "path", "left_semi")
+
+
 def enclosing(refs: DataFrame, defs: DataFrame, key: str = "path") -> DataFrame:
-    """refs (key, pos) with the innermost definition (key, name, pos, until) around them; without one, the latest that starts before; or null.
+    """refs (key, pos) with the innermost definition (key, name, pos, until) around them; without one, the latest that starts before; or null. Equal references are one row.
 
-    Per key the definitions that start before a reference are compared by (contains, start, end, name); ties have a total order.
+    Definitions and positions of a key go through one sorted pass with a stack of the bodies that are open, so what a task holds is how many bodies lie over one place.
     """
-    d = defs.select(F.col(key).alias("d_key"), F.col("name").alias("d_name"), F.col("pos").alias("d_pos"), F.col("until").alias("d_until"))
-    before = refs.join(d, (F.col(key) == F.col("d_key")) & (F.col("d_pos") <= F.col("pos")), "left")
-    rank = F.struct((F.col("d_until") >= F.col("pos")).alias("inside"), "d_pos", (-F.col("d_until")).alias("u"), "d_name")
-    own = [c for c in refs.columns]
-    return before.groupBy(*own).agg(F.max_by("d_name", F.when(F.col("d_pos").isNotNull(), rank)).alias("enclosing"))
+    own = [F.col("pos").alias("at"), F.lit(0).alias("sort"), F.col("until").cast("long").alias("until"), F.col("name").alias("name")]
+    spots = refs.select(key, "pos").distinct()
+    asked = spots.select(F.col(key).alias("k"), F.col("pos").alias("at"), F.lit(1).alias("sort"), F.lit(None).cast("long").alias("until"), F.lit(None).cast("string").alias("name"))
+    # Of bodies that start together the longest comes first, so the innermost is on top.
+    swept = defs.select(F.col(key).alias("k"), *own).unionByName(asked).repartition("k").sortWithinPartitions("k", "at", "sort", F.col("until").desc(), "name")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, stack, last = None, [], None
+        for b in batches:
+            out = []
+            for k, at, sort, until, name in zip(b["k"], b["at"], b["sort"], b["until"], b["name"], strict=True):
+                if k != now:
+                    now, stack, last = k, [], None
+                while stack and stack[-1][0] < at:
+                    stack.pop()
+                if sort:
+                    out.append((k, int(at), stack[-1][1] if stack else last))
+                else:
+                    stack.append((int(until), name))
+                    last = name
+            yield pd.DataFrame(out, columns=[key, "pos", "enclosing"])
+
+    found = swept.mapInPandas(run, f"{key} {refs.schema[key].dataType.simpleString()}, pos long, enclosing string")
+    return refs.distinct().join(found, [key, "pos"]).select(*refs.columns, "enclosing")
 
 
 def edges_of(sites: DataFrame) -> DataFrame:
@@ -67,36 +111,67 @@ def edges_of(sites: DataFrame) -> DataFrame:
     return sites.groupBy("caller", "callee", "path", "line", "column").agg(F.max("source").alias("source"))
 
 
-def nodes_of(edges: DataFrame) -> DataFrame:
-    """Node ids with their in- and out-degree; the first source by name order wins."""
+def degrees(edges: DataFrame) -> DataFrame:
+    """Node ids with their in- and out-degree."""
     ends = edges.select(F.explode(F.array(F.struct(F.col("caller").alias("id"), F.lit(1).alias("o"), F.lit(0).alias("i")), F.struct(F.col("callee").alias("id"), F.lit(0).alias("o"), F.lit(1).alias("i")))).alias("e"))
     return ends.groupBy("e.id").agg(F.sum("e.o").alias("out_degree"), F.sum("e.i").alias("in_degree"))
 
 
-def calls_of(edges: DataFrame, text: str) -> DataFrame:
+def nodes(rows: DataFrame) -> DataFrame:
+    """One row for each id of nodes (id, display_name, kind, path, source): the first, precise sources before others."""
+    order = [(F.col("source") != "precise"), F.col("path"), F.col("kind"), F.col("display_name")]
+    return rows.withColumn("n", F.row_number().over(Window.partitionBy("id").orderBy(*order))).where("n = 1").drop("n")
+
+
+def from_occurrences(occ: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of a precise store: a node for each defined symbol, an edge from the definition around a reference to what it refers to. Bodies end where definitions' ranges
+    do; references outside all go to the latest definition before them. A place is line and column in one number."""
+    place = lambda line, column: F.col(line) * (1 << 20) + F.least(F.col(column), F.lit((1 << 20) - 1))
+    defs = occ.where("role = 'definition'")
+    spots = defs.select("path", F.col("symbol_key").alias("name"), place("line", "column").alias("pos"), place("end_line", "end_column").alias("until")).distinct()
+    refs = occ.where("role = 'reference'").select("path", "line", "column", F.col("symbol_key").alias("callee"), place("line", "column").alias("pos"))
+    around = enclosing(refs, spots).where("enclosing is not null")
+    known = defs.select(F.col("symbol_key").alias("callee")).distinct()
+    edges = edges_of(around.join(known, "callee", "left_semi").select(F.col("enclosing").alias("caller"), "callee", "path", "line", "column", F.lit("precise").alias("source")))
+    made = defs.select(F.col("symbol_key").alias("id"), F.col("name").alias("display_name"), "kind", "path", F.lit("precise").alias("source"))
+    return nodes(made), edges
+
+
+def resolved(nodes_: DataFrame, edges: DataFrame) -> DataFrame:
+    """Edges whose both ends are nodes; dangling ones go."""
+    ids = nodes_.select("id")
+    return edges.join(ids.withColumnRenamed("id", "caller"), "caller", "left_semi").join(ids.withColumnRenamed("id", "callee"), "callee", "left_semi")
+
+
+def calls_of(edges: DataFrame, text: str, nodes_: DataFrame | None = None, case_sensitive: bool = False) -> DataFrame:
     """Outgoing edges of nodes that a variant of the input matches."""
-    return _near(edges, "caller", text)
+    return _near(edges, "caller", text, nodes_, case_sensitive)
 
 
-def callers_of(edges: DataFrame, text: str) -> DataFrame:
-    return _near(edges, "callee", text)
+def callers_of(edges: DataFrame, text: str, nodes_: DataFrame | None = None, case_sensitive: bool = False) -> DataFrame:
+    return _near(edges, "callee", text, nodes_, case_sensitive)
 
 
-def _near(edges: DataFrame, end: str, text: str) -> DataFrame:
-    last = F.regexp_extract(F.col(end), r"([A-Za-z0-9_]+)[^A-Za-z0-9_]*$", 1)
-    base = F.split_part(F.col(end), F.lit("("), F.lit(1))
-    hit = F.coalesce(match_variant(F.col(end), text), match_variant(base, text), match_variant(last, text))
-    return edges.withColumn("hit", hit).where("hit is not null").withColumn("matched_by", F.col("hit.kind")).drop("hit")
+def matched_nodes(ids: DataFrame, text: str, case_sensitive: bool = False) -> DataFrame:
+    """(id, matched_by) of the nodes (id, display_name) that a variant of the input matches by id, display name, their last identifiers, or those before a signature."""
+    forms = [F.col("id"), F.col("display_name")]
+    forms += [f(c) for f in (last_identifier_col, method_base_col) for c in forms]
+    return ids.withColumn("hit", F.coalesce(*(match_variant(f, text, case_sensitive=case_sensitive) for f in forms))).where("hit is not null").select("id", F.col("hit.kind").alias("matched_by"))
 
 
-def prefer_precise(candidates: DataFrame, site: list[str], source: str = "source") -> DataFrame:
-    """Without the parser's rows at sites that also have a precise one."""
-    w = Window.partitionBy(*site)
-    return candidates.withColumn("any_precise", F.max((F.col(source) == "precise").cast("int")).over(w)).where((F.col(source) == "precise") | (F.col("any_precise") == 0)).drop("any_precise")
+def _near(edges: DataFrame, end: str, text: str, nodes_: DataFrame | None, case_sensitive: bool) -> DataFrame:
+    """Nodes are matched once each, then joined with their edges."""
+    ids = edges.select(F.col(end).alias("id")).distinct()
+    ids = ids.withColumn("display_name", F.col("id")) if nodes_ is None else ids.join(nodes_.select("id", "display_name"), "id", "left").withColumn("display_name", F.coalesce(F.when(F.col("display_name") != "", F.col("display_name")), F.col("id")))
+    found = matched_nodes(ids, text, case_sensitive)
+    return edges.join(found.withColumnRenamed("id", end), end).select(*edges.columns, "matched_by")
 
 
-def first_wins(nodes: DataFrame, key: str, order: list) -> DataFrame:
-    return nodes.withColumn("n", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("n = 1").drop("n")
+def prefer_precise(candidates: DataFrame, site: list[str] | None = None, source: str = "source") -> DataFrame:
+    """Without the parser's rows at sites that also have a precise one. A site is the path, the line and the last identifiers of both ends before their signatures, or the columns named."""
+    keys = [F.col(c) for c in site] if site else [F.col("path"), F.col("line"), method_base_col(F.col("caller")), method_base_col(F.col("callee"))]
+    w = Window.partitionBy(*keys)
+    return candidates.withColumn("any_precise", F.max((F.col(source) == "precise").cast("int")).over(w)).where((F.col(source) == "precise") | (F.col("any_precise") == 0)).drop("any_precise")
 
 
 def budget(candidates: DataFrame, by: str, order: list[str], most: int) -> DataFrame:

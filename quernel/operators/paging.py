@@ -6,7 +6,7 @@ import hashlib
 import json
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import extension, top_dir
@@ -29,15 +29,11 @@ def page(results: DataFrame, offset: int, limit: int) -> DataFrame:
     return out.offset(offset) if offset else out
 
 
-def numbered(results: DataFrame) -> DataFrame:
-    return results.withColumn("row_number", F.row_number().over(Window.orderBy(*(c for c in ORDER if c in results.columns))).cast("long"))
-
-
-def result_hash(results: DataFrame) -> str:
-    """A digest of a result set in any order: two sums of row hashes and the count."""
+def result_mark(results: DataFrame) -> tuple[str, int]:
+    """(a digest of a result set in any order, its number of rows) in one job: two sums of row hashes and the count."""
     h = [F.col(c).cast("string") for c in sorted(results.columns)]
     row = results.agg(F.sum(F.xxhash64(*h).cast("decimal(38,0)")), F.sum(F.hash(*h).cast("decimal(38,0)")), F.count("*")).first()
-    return hashlib.sha256(repr(tuple(map(str, row))).encode()).hexdigest()
+    return hashlib.sha256(repr(tuple(map(str, row))).encode()).hexdigest(), row[2]
 
 
 def cursor(scope: dict, results: str, offset: int) -> str:
@@ -65,13 +61,15 @@ def facets(results: DataFrame) -> DataFrame:
     return results.select(pairs).where("f.value is not null").groupBy("f.dim", "f.value").agg(F.count("*").alias("n"))
 
 
-def ambiguity(definitions: DataFrame, name: str) -> DataFrame:
-    """Counts by (dim, value) of definitions with the name, if there are two at least."""
-    own = definitions.where(F.col("name") == name)
-    dims = [c for c in ("language", "kind", "container") if c in definitions.columns]
-    pairs = F.array(F.struct(F.lit("topDir").alias("dim"), top_dir(F.col("path")).alias("value")), *(F.struct(F.lit(c).alias("dim"), F.col(c).cast("string").alias("value")) for c in dims))
-    counted = own.withColumn("total", F.count("*").over(Window.partitionBy("name"))).where("total > 1").select(F.explode(pairs).alias("f")).where("f.value is not null")
-    return counted.groupBy("f.dim", "f.value").agg(F.count("*").alias("n"))
+def ambiguity(definitions: DataFrame, name: str | None = None) -> DataFrame:
+    """name, dim, value, n of definitions whose name several have: by language, kind, top directory and container, as far as there are such columns. Of one name, or of all."""
+    own = definitions if name is None else definitions.where(F.col("name") == name)
+    dims = {c: F.col(c).cast("string") for c in ("language", "kind", "container") if c in definitions.columns}
+    dims |= {"topDir": top_dir(F.col("path"))} if "path" in definitions.columns else {}
+    shared = own.groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select("name")
+    pairs = F.array(*(F.struct(F.lit(k).alias("dim"), v.alias("value")) for k, v in dims.items()))
+    each = own.join(shared, "name", "left_semi").select("name", F.explode(pairs).alias("f")).where("f.value is not null")
+    return each.groupBy("name", "f.dim", "f.value").agg(F.count("*").alias("n"))
 
 
 def preview_chars(files: int, size: int, hits: int) -> int:
@@ -109,8 +107,7 @@ class Page:
 
 def paginate(results: DataFrame, scope: dict, limit: int = 100, given: str | None = None, guard: str | None = None, allow_broad: bool = False) -> Page:
     """Facets and the total are of all results. A guarded query with more than five shows five and no cursor, whatever the limit."""
-    mark = result_hash(results)
-    total = results.count()
+    mark, total = result_mark(results)
     if guard and not allow_broad and total > GUARD_SAMPLE:
         files = results.select("path").distinct().count()
         return Page(page(results, 0, GUARD_SAMPLE), total, True, None, facets(results), guard, files, [guard])

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 #: States of a provider's root and the ways between them.
 TRANSITIONS = {
-    "unstarted": ("starting", "unavailable"), "starting": ("indexing", "ready", "failed"), "indexing": ("ready", "partial", "failed"), "ready": ("indexing", "stale", "stopped"),
-    "partial": ("indexing", "stopped"), "stale": ("indexing",), "failed": (), "stopped": (),
+    "missing": ("starting",), "starting": ("importing", "partial"), "importing": ("ready", "partial"), "ready": ("resolving", "stale"), "resolving": ("ready", "partial"),
+    "stale": ("resolving",), "partial": ("retrying",), "retrying": ("ready", "partial"),
 }
 BLOCKING = ("stale", "updating", "missing")
 
@@ -39,8 +39,11 @@ def manifests_for(roots: DataFrame, providers: DataFrame) -> DataFrame:
     return roots.select("root_id", "language").join(providers, "language").withColumn("state", F.lit("missing"))
 
 
-def capability(manifests: DataFrame) -> DataFrame:
-    return manifests.groupBy("language").agg(F.count("*").alias("roots"), F.bool_or(F.col("state") == "fresh").alias("any_fresh"), F.bool_or(F.col("state").isin(*BLOCKING)).alias("blocked"))
+def capability(manifests: DataFrame, languages: DataFrame) -> DataFrame:
+    """language, state, provider for each language: missing without a manifest, partial while any blocks, else ready."""
+    per = manifests.groupBy("language").agg(F.bool_or(F.col("state").isin(*BLOCKING)).alias("blocked"), F.min("provider").alias("provider"))
+    state = F.when(F.col("blocked").isNull(), "missing").when(F.col("blocked"), "partial").otherwise("ready")
+    return languages.select("language").distinct().join(per, "language", "left").select("language", state.alias("state"), "provider")
 
 
 def dedup_probes(probes: DataFrame, key: list[str]) -> DataFrame:
@@ -49,11 +52,19 @@ def dedup_probes(probes: DataFrame, key: list[str]) -> DataFrame:
 
 
 def schedule(probes: DataFrame, most_roots: int, most_probes: int) -> DataFrame:
-    """probes with decision: run, or deferred for the provider's roots or the root's probes."""
-    roots = F.dense_rank().over(Window.partitionBy("provider").orderBy("root_id"))
+    """probes with decision: run, or deferred for the provider's roots or the root's probes. Only distinct roots are ranked within a provider, and of those the first ones are found
+    by a top-k for each task, so a provider with very many probes is no single task."""
+    roots = probes.select("provider", "root_id").distinct()
+    first = _first_roots(roots, most_roots)
     own = F.row_number().over(Window.partitionBy("provider", "root_id").orderBy("priority", "probe_id"))
-    why = F.when(F.col("r") > most_roots, "deferred_roots").when(F.col("p") > most_probes, "deferred_probes").otherwise("run")
-    return probes.withColumn("r", roots).withColumn("p", own).withColumn("decision", why).drop("r", "p")
+    kept = probes.join(first.withColumn("among", F.lit(True)), ["provider", "root_id"], "left")
+    why = F.when(F.col("among").isNull(), "deferred_roots").when(F.col("p") > most_probes, "deferred_probes").otherwise("run")
+    return kept.withColumn("p", own).withColumn("decision", why).select(*probes.columns, "decision")
+
+
+def _first_roots(roots: DataFrame, most: int) -> DataFrame:
+    """The first `most` roots of each provider. A filter on row_number keeps only so many of a provider in each task before the exchange."""
+    return roots.withColumn("r", F.row_number().over(Window.partitionBy("provider").orderBy("root_id"))).where(F.col("r") <= most).drop("r")
 
 
 def provider_for(probes: DataFrame, providers: DataFrame) -> DataFrame:

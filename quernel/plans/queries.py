@@ -2,33 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import names, text
-from ..functions.patterns import Pattern
+from ..functions.patterns import Pattern, broad_reason
 from ..operators import catalog, config, extract, graph, paging, project, search, states
 from ..sources import corpus, workspace
 from ..streaming import events as ev
-from .api import browse
-
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
+from .api import Engine, browse, read_lines
+from .registry import QUERIES, SQL, query
 
+__all__ = ["QUERIES", "SQL"]
 
+STYLE = r"lower(regexp_replace(regexp_replace(regexp_replace({0}, '([a-z0-9])([A-Z])', '\1_\2', 'g'), '[^A-Za-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g'))"
 FILES = "files as (select concat_ws('/', source, lang, doc_id::varchar || '.txt') as path, lang as language, strlen(text)::bigint as size, text as content from documents)"
 LINES = f"{FILES}, lines as (select path, language, unnest(string_split(content, chr(10))) as text, unnest(range(1, len(string_split(content, chr(10))) + 1))::bigint as line from files)"
 
@@ -53,7 +40,6 @@ def _places(hits: DataFrame) -> DataFrame:
 
 @query(f"with {_found('(?i)tion')} {_PLACE}")
 def find_literal_ci(spark, sf):
-    """Every hit of a literal, ignoring case, in every document."""
     return _places(search.find(corpus.corpus_files(spark, sf), Pattern("tion")))
 
 
@@ -96,10 +82,19 @@ def find_scoped(spark, sf):
     return _places(search.find(scope.apply(corpus.corpus_files(spark, sf)), Pattern("ing")))
 
 
-@query(f"with {_found('(?i)the')} select path, line, \"column\", match_text from found order by path, line, \"column\" limit 5")
+@query(f"with {_found('(?i)function')} select path, line, \"column\", match_text from found order by path, line, \"column\" limit 5")
+def find_guarded_none(spark, sf):
+    """A guarded literal with few hits or none shows what there is."""
+    page = Engine(corpus.corpus_files(spark, sf)).find("function")
+    return _places(page.results)
+
+
+@query(f"with {_found('(?i)a')} select path, line, \"column\", match_text from found order by path, line, \"column\" limit 5")
 def find_guarded_sample(spark, sf):
-    """A broad query shows five rows in order."""
-    return paging.page(_places(search.find(corpus.corpus_files(spark, sf), Pattern("the"))), 0, paging.GUARD_SAMPLE)
+    """A broad query, here one character, shows five rows in order."""
+    page = Engine(corpus.corpus_files(spark, sf)).find("a")
+    assert page.guard == broad_reason("find", "a") and page.next_cursor is None
+    return _places(page.results)
 
 
 @query(f"with {_found('(?i)tion')} {_PLACE} order by path, line, \"column\" limit 100 offset 100")
@@ -158,11 +153,11 @@ def list_dir(spark, sf):
     return browse(corpus.corpus_files(spark, sf), "src3", 1)
 
 
-@query(f"with {FILES} select path, array_to_string(string_split(content, chr(10))[2:4], chr(10)) as content from files where len(string_split(content, chr(10))) >= 2")
+@query(f"with {FILES} select path, array_to_string(string_split(content, chr(10))[2:4], chr(10)) as content from files where len(string_split(regexp_replace(content, chr(10) || '$', ''), chr(10))) >= 2")
 def read_range(spark, sf):
-    """Lines 2 to 4 of every file that has a second one."""
-    f = corpus.corpus_files(spark, sf).withColumn("ls", text.lines(F.col("content"))).where("size(ls) >= 2")
-    return f.select("path", F.array_join(F.slice("ls", 2, 3), "\n").alias("content"))
+    """Lines 2 to 4 of every file that has a second one, as the verb reads them."""
+    f = corpus.corpus_files(spark, sf).where(F.size(text.lines(F.regexp_replace("content", r"\\n\\z", ""))) >= 2)
+    return read_lines(f, 2, 4).select("path", "content")
 
 
 @query(f"with {PAGES} select path, size, 'html' as language from pages_ where not regexp_matches(path, '(^|/)(dist|target|en)(/|$)')")
@@ -175,9 +170,8 @@ def catalog_scan(spark, sf):
 
 @query(f"with {PAGES} select path, 'scan' as stage, 'generated' as reason from pages_ where regexp_matches(path, '(^|/)(dist|target|en)(/|$)')")
 def skipped_log(spark, sf):
-    own = corpus.page_files(spark, sf)
-    own = own.withColumn("real", F.col("path")).withColumn("path", F.regexp_replace("path", r"(^|/)en(?=/|$)", "$1dist"))
-    return catalog.scan(own).where("skip_reason is not null").select(F.col("real").alias("path"), F.lit("scan").alias("stage"), F.col("skip_reason").alias("reason"))
+    own = corpus.page_files(spark, sf).withColumn("path", F.concat_ws("|", F.regexp_replace("path", r"(^|/)en(?=/|$)", "$1dist"), F.col("path")))
+    return catalog.skipped_log(catalog.scan(own)).withColumn("path", F.split_part("path", F.lit("|"), F.lit(2)))
 
 
 @query(f"""with {PAGES}, s as (select regexp_matches(path, '(^|/)(dist|target|en)(/|$)') as gen from pages_)
@@ -212,9 +206,18 @@ def trigram_candidates(spark, sf):
 
 @query(f"with {_found('(?i)llech')} {_PLACE}")
 def indexed_find(spark, sf):
-    """The search behind a trigram index; equal to the scan's."""
-    files = corpus.corpus_files(spark, sf)
-    return _places(search.find(search.prefiltered(files, catalog.gram_index(files), Pattern("llech")), Pattern("llech")))
+    """The search behind the stored trigram index; equal to the scan's."""
+    files, folder, snapshot = stored_index(spark, sf)
+    grams = catalog.read_snapshot(spark, folder, "grams", snapshot)
+    return _places(search.find(search.prefiltered(files, grams, Pattern("llech")), Pattern("llech")))
+
+
+@query(f"with {FILES}, rows_ as (select 'catalog' as name, count(*)::bigint as n from files union all select 'proofs', count(*)::bigint from files) select name, n from rows_")
+def index_build(spark, sf):
+    """The corpus's index, built if there is none of these files yet; rows of the tables that one row for each file makes."""
+    _, folder, snapshot = stored_index(spark, sf)
+    count = lambda name: catalog.read_snapshot(spark, folder, name, snapshot).agg(F.lit(name).alias("name"), F.count("*").alias("n"))
+    return count("catalog").unionByName(count("proofs"))
 
 
 SNAP = """base as (select doc_id, 'd/' || doc_id::varchar as path, text from documents),
@@ -257,6 +260,29 @@ def changed_summary(spark, sf):
     return workspace.changed_summary(workspace.parse_status(e.select(F.concat(xy, F.lit(" p/"), F.col("event_id").cast("string")).alias("value"))))
 
 
+def shared_dir(spark) -> str:
+    """The folder that all machines share; spark.checkpoint.dir names it. Unset (tests), one below the warehouse is used."""
+    return (spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_staged").rstrip("/")
+
+
+def stored_index(spark, sf):
+    """(files, folder, snapshot): the corpus and its stored index, built where these very files have none. A snapshot is named by the table's files, sizes and times."""
+    import hashlib
+
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{sf}/documents.parquet")
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    seen = sorted(f"{x.getPath().getName()}:{x.getLen()}:{x.getModificationTime()}" for x in fs.listStatus(path))
+    files, folder, snapshot = corpus.corpus_files(spark, sf), f"{shared_dir(spark)}/corpus-index", "table:" + hashlib.sha256("\n".join([sf, *seen]).encode()).hexdigest()[:16]
+    if catalog.manifest(spark, folder, snapshot) is None:
+        Engine(files, snapshot=snapshot).build(folder)
+    return files, folder, snapshot
+
+
+def _engine(spark, sf):
+    """Pages with their headings and links as a precise store."""
+    return Engine(corpus.page_files(spark, sf), occurrences=_occurrences(spark, sf).withColumn("symbol", F.col("symbol_key")))
+
+
 def _page_symbols(spark, sf):
     heads = corpus.page_headings(corpus.table(spark, sf, "pages"))
     return heads.select(F.format_string("p/%d", "page_id").alias("path"), "name", "pos", (F.col("pos") + F.col("width")).alias("until"))
@@ -283,30 +309,27 @@ def html_links(spark, sf):
 
 @query(f"with {TAGS} select path, name, pos from hs where contains(lower(name), 'er')")
 def symbols_contains(spark, sf):
-    return _page_symbols(spark, sf).where(names.match_variant(F.col("name"), "ER", contains=True).isNotNull()).select("path", "name", "pos")
+    return _engine(spark, sf).symbols("ER", limit=0).results.select("path", "name", "pos")
 
 
-@query(f"with {TAGS}, one as (select min(name) as n from hs) select path, name, pos from hs, one where lower(name) = lower(n)")
+@query(f"""with {TAGS}, one as (select min(name) as n from hs where regexp_full_match(name, '[A-Za-z]+')) select path, name, pos from hs, one where lower(name) = lower(n) or {STYLE.format('name')} = {STYLE.format('n')}""")
 def defs_exact(spark, sf):
-    """Definitions whose name is the corpus's least one, by a join."""
-    s = _page_symbols(spark, sf)
-    least = s.agg(F.min("name").alias("n"))
-    return s.join(F.broadcast(least), F.lower("name") == F.lower("n")).select("path", "name", "pos")
+    """Precise definitions of the corpus's least plain name."""
+    engine = _engine(spark, sf)
+    least = engine.occurrences.where("role = 'definition' and name rlike '^[A-Za-z]+$'").agg(F.min("name")).first()[0]
+    return engine.defs(least or "none", limit=0).results.select("path", "name", "pos")
 
 
 @query("""with s as (select p_name as name, 'p/' || p_partkey::varchar as path, p_brand as kind, p_type as container from part),
 many as (select *, count(*) over (partition by name) as total from s),
-dims as (select name, 'kind' as dim, kind as value from many where total > 1 union all select name, 'container', container from many where total > 1)
+dims as (select name, 'kind' as dim, kind as value from many where total > 1 union all select name, 'container', container from many where total > 1 union all select name, 'topDir', 'p' from many where total > 1)
 select name, dim, value, count(*)::bigint as n from dims where value is not null group by 1, 2, 3""")
 def defs_ambiguous(spark, sf):
-    """Counts by kind and container of every name that several parts share."""
-    s = corpus.table(spark, sf, "part").select(F.col("p_name").alias("name"), F.col("p_brand").alias("kind"), F.col("p_type").alias("container"))
-    shared = s.join(s.groupBy("name").count().where("count > 1").select("name"), "name", "left_semi")
-    f = F.explode(F.array(F.struct(F.lit("kind").alias("dim"), F.col("kind").alias("value")), F.struct(F.lit("container").alias("dim"), F.col("container").alias("value")))).alias("f")
-    return shared.select("name", f).where("f.value is not null").groupBy("name", "f.dim", "f.value").agg(F.count("*").alias("n"))
+    """Counts by kind, container and top directory of every name that several parts share."""
+    s = corpus.table(spark, sf, "part").select(F.col("p_name").alias("name"), F.format_string("p/%d", "p_partkey").alias("path"), F.col("p_brand").alias("kind"), F.col("p_type").alias("container"))
+    return paging.ambiguity(s)
 
 
-STYLE = r"lower(regexp_replace(regexp_replace(regexp_replace(regexp_replace({0}, '([A-Z]+)([A-Z][a-z])', '\1_\2', 'g'), '([a-z0-9])([A-Z])', '\1_\2', 'g'), '[^A-Za-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g'))"
 
 
 @query(f"select distinct p_name as name, {STYLE.format('p_name')} as key, {STYLE.format('p_type')} as type_key from part")
@@ -332,9 +355,12 @@ def _occurrences(spark, sf):
     return d.unionByName(r)
 
 
-@query(f"with {OCC} select distinct path, name, pos from occ where role = 'definition'")
+@query(f"with {OCC}, syms as (select symbol_key, min(name) as name from occ where role = 'definition' group by 1) select o.path, o.symbol_key, s.name, o.pos from occ o join syms s using (symbol_key) group by all")
 def occurrences_defs(spark, sf):
-    return _occurrences(spark, sf).where("role = 'definition'").select("path", "name", "pos").dropDuplicates()
+    """Occurrences joined with the symbols that some definition names; references to nothing go."""
+    o = _occurrences(spark, sf)
+    symbols = o.where("role = 'definition'").groupBy("symbol_key").agg(F.min("name").alias("name"), F.lit("heading").alias("kind"))
+    return graph.joined_symbols(o, symbols).select("path", "symbol_key", "name", "pos").distinct()
 
 
 @query(f"with {OCC}, s as (select symbol_key, count(*)::bigint as n from occ group by 1) select o.path, o.symbol_key, o.pos, s.n from occ o join s using (symbol_key) where o.role = 'reference'")
@@ -352,14 +378,18 @@ def symbol_upsert_merge(spark, sf):
     return names.upsert_symbols(s)
 
 
-@query(f"""with {LINES}, toks as (select path, line, text, regexp_extract_all(text, '(?i)the') as hits, string_split_regex(text, '(?i)the') as parts from lines where regexp_matches(text, '(?i)the')),
-found as (select path, line, (1 + list_sum(list_transform(parts[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[1:k - 1], lambda x: length(x))), 0))::bigint as "column" from (select *, unnest(range(1, len(hits) + 1)) as k from toks))
-select path, line, "column", case when line = 1 and "column" + 3 <= 81 then 'definition' else 'reference_candidate' end as role from found""")
+@query(f"""with {LINES}, {TAGS}, pl as (select 'p/' || page_id::varchar as path, unnest(string_split(html, chr(10))) as text, unnest(range(1, len(string_split(html, chr(10))) + 1))::bigint as line, len(string_split(html, chr(10))) as n from pages),
+toks as (select path, line, text, regexp_extract_all(text, '(?i)for') as hits, string_split_regex(text, '(?i)for') as parts from pl where regexp_matches(text, '(?i)for')),
+found as (select path, line, text, (1 + list_sum(list_transform(parts[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[1:k - 1], lambda x: length(x))), 0))::bigint as "column" from (select *, unnest(range(1, len(hits) + 1)) as k from toks)),
+whole as (select * from found where not regexp_matches(coalesce(text["column" - 1:"column" - 1], ''), '[A-Za-z0-9_]') and not regexp_matches(coalesce(text["column" + 3:"column" + 3], ''), '[A-Za-z0-9_]'))
+select w.path, w.line, w."column", case when count(h.pos) > 0 then 'definition' else 'reference_candidate' end as role from whole w left join hs h on h.path = w.path and w.line = 1 and h.pos + 1 <= w."column" and w."column" + 3 <= h.pos + h.width + 1 group by 1, 2, 3""")
 def refs_with_role(spark, sf):
-    """Hits, those within the first 80 characters of a file marked as its definition."""
-    files = corpus.corpus_files(spark, sf)
-    spots = files.select("path", *(F.lit(v).cast("long").alias(c) for c, v in (("line", 1), ("column", 1), ("end_line", 1), ("end_column", 81))))
-    return search.with_roles(search.find(files, Pattern("the")), spots).select("path", "line", "column", "role")
+    """Whole words in pages; those within a heading on the first line count as its definition."""
+    pages = corpus.table(spark, sf, "pages")
+    files = pages.select(F.format_string("p/%d", "page_id").alias("path"), F.lit("html").alias("language"), F.col("html").alias("content"))
+    heads = _page_symbols(spark, sf)
+    spots = heads.select("path", F.lit(1).cast("long").alias("line"), (F.col("pos") + 1).alias("column"), F.lit(1).cast("long").alias("end_line"), (F.col("until") + 1).alias("end_column"))
+    return search.with_roles(search.find(files, Pattern("for"), boundary=True), spots).select("path", "line", "column", "role")
 
 
 @query(f"""with {TAGS}, {LINKS} select l.path, l.target, l.pos, arg_max(h.name, (case when h.pos + 4000 >= l.pos then 1 else 0 end, h.pos, -(h.pos + 4000), h.name)) as enclosing
@@ -376,14 +406,20 @@ def enclosing_symbol_asof(spark, sf):
 SITES = "sites as (select 'supplier#' || l_suppkey::varchar as caller, 'part#' || l_partkey::varchar as callee, 'o/' || l_orderkey::varchar as path, l_linenumber::bigint as line, 1::bigint as \"column\", case when l_returnflag = 'N' then 'precise' else 'parser' end as source from lineitem)"
 
 
-@query(f"with {SITES} select caller, callee, path, line from sites where caller = 'supplier#7' group by all")
+@query(f"""with {SITES}, named as (select distinct caller as id, lower(regexp_extract(caller, '([A-Za-z0-9_]+)[^A-Za-z0-9_]*$', 1)) as last from sites),
+m as (select id, case when lower(id) = 'supplier#7' then 'raw' when last = '7' then 'qualified_tail' end as matched_by from named)
+select caller, callee, path, line, matched_by from sites join m on m.id = sites.caller where matched_by is not null group by all""")
 def calls_of(spark, sf):
-    return graph.calls_of(graph.edges_of(corpus.call_sites(spark, sf)), "supplier#7").where("matched_by = 'raw'").select("caller", "callee", "path", "line")
+    """Outgoing edges of every node that a variant of the input matches, by whatever form."""
+    page = Engine(corpus.corpus_files(spark, sf), edges=graph.edges_of(corpus.call_sites(spark, sf).withColumn("source", F.lit("precise")))).calls("supplier#7", limit=0)
+    return page.results.select("caller", "callee", "path", "line", "matched_by")
 
 
-@query(f"with {SITES} select caller, callee, path, line from sites where callee = 'part#15' group by all")
+@query(f"""with {SITES}, m as (select distinct callee as id, case when lower(callee) = 'part#15' then 'raw' when lower(regexp_extract(callee, '([A-Za-z0-9_]+)[^A-Za-z0-9_]*$', 1)) = '15' then 'qualified_tail' end as matched_by from sites)
+select caller, callee, path, line, matched_by from sites join m on m.id = sites.callee where matched_by is not null group by all""")
 def callers_of(spark, sf):
-    return graph.callers_of(graph.edges_of(corpus.call_sites(spark, sf)), "part#15").where("matched_by = 'raw'").select("caller", "callee", "path", "line")
+    page = Engine(corpus.corpus_files(spark, sf), edges=graph.edges_of(corpus.call_sites(spark, sf).withColumn("source", F.lit("precise")))).callers("part#15", limit=0)
+    return page.results.select("caller", "callee", "path", "line", "matched_by")
 
 
 @query(f"with {SITES}, m as (select *, bool_or(source = 'precise') over (partition by path, caller) as p from sites) select caller, callee, path, line, source from m where source = 'precise' or not p")
@@ -399,7 +435,7 @@ def edge_dedup(spark, sf):
 
 @query(f"with {SITES}, e as (select caller as id, 1 as o, 0 as i from sites union all select callee, 0, 1 from sites) select id, sum(o)::bigint as out_degree, sum(i)::bigint as in_degree from e group by 1")
 def graph_degrees(spark, sf):
-    return graph.nodes_of(corpus.call_sites(spark, sf))
+    return graph.degrees(corpus.call_sites(spark, sf))
 
 
 @query("""with r as (select l_suppkey, l_orderkey, l_linenumber, count(*) over (partition by l_suppkey)::bigint as total, row_number() over (partition by l_suppkey order by l_orderkey, l_linenumber)::bigint as n from lineitem)
@@ -421,13 +457,18 @@ def owning_root_longest_prefix(spark, sf):
     return project.longest_prefix(files.select("path"), roots).select("path", F.col("owner.dir").alias("dir"))
 
 
+#: Names of a workspace's files, dealt out over the documents' directories.
+NAMES = ("go.mod", "Cargo.toml", "package.json", "pom.xml", "Dockerfile", "main.go", "Makefile", "go.sum", "yarn.lock", "app.yaml", ".env", "x.conf", "x.gen.go")
+
+
 def _project_files(spark, sf):
     d = corpus.table(spark, sf, "documents")
-    marker = F.element_at(F.array(*(F.lit(x) for x in ("go.mod", "Cargo.toml", "package.json", "pom.xml", "Dockerfile", "main.go", "Makefile"))), (F.col("doc_id") % 7 + 1).cast("int"))
+    marker = F.element_at(F.array(*(F.lit(x) for x in NAMES)), (F.col("doc_id") % len(NAMES) + 1).cast("int"))
     return d.select(F.concat_ws("/", "source", "lang", marker).alias("path")).distinct().withColumn("language", text.language_of(F.col("path")))
 
 
-PROJECT = """names as (select distinct source || '/' || lang as dir, (['go.mod', 'Cargo.toml', 'package.json', 'pom.xml', 'Dockerfile', 'main.go', 'Makefile'])[(doc_id % 7 + 1)::int] as name from documents),
+PROJECT = """names as (select distinct source || '/' || lang as dir, (['go.mod', 'Cargo.toml', 'package.json', 'pom.xml', 'Dockerfile', 'main.go', 'Makefile', 'go.sum', 'yarn.lock', 'app.yaml', '.env', 'x.conf', 'x.gen.go'])[(doc_id % 13 + 1)::int] as name from documents),
+lang_of as (select unnest(['go.mod', 'Cargo.toml', 'package.json', 'pom.xml', 'go.sum', 'yarn.lock']) as name, unnest(['go', 'rust', 'typescript', 'java', 'go', 'typescript']) as language),
 roots as (select dir, case name when 'go.mod' then 'go' when 'Cargo.toml' then 'rust' when 'package.json' then 'typescript' else 'java' end as language, case name when 'go.mod' then 'go_module' when 'Cargo.toml' then 'cargo' when 'package.json' then 'node' else 'maven' end as kind
   from names where name in ('go.mod', 'Cargo.toml', 'package.json', 'pom.xml'))"""
 
@@ -437,18 +478,37 @@ def project_roots(spark, sf):
     return project.discover_roots(_project_files(spark, sf)).select("root_id", "dir", "language", "kind")
 
 
-@query(f"with {PROJECT} select n.dir || '/' || n.name as path, 'go' as language, case when r.dir is null then null else 'go:' || r.dir end as root_id, false as \"generated\" from names n left join roots r on r.dir = n.dir and r.language = 'go' where n.name = 'main.go'")
+@query(f"with {PROJECT} select n.dir || '/' || n.name as path, 'go' as language, case when r.dir is null then null else 'go:' || r.dir end as root_id, n.name = 'x.gen.go' as \"generated\" from names n left join roots r on r.dir = n.dir and r.language = 'go' where n.name in ('main.go', 'x.gen.go')")
 def source_owners(spark, sf):
     files = _project_files(spark, sf)
-    return project.owners(files.where("path like '%/main.go'"), project.discover_roots(files))
+    return project.owners(files.where("path like '%.go'"), project.discover_roots(files))
 
 
-@query(f"""with {PROJECT}, every as (select list_sort(list(distinct language || ':' || dir)) as ids from roots), near as (select n.dir, n.name, min(r.language || ':' || r.dir) as own from names n left join roots r using (dir) group by 1, 2)
-select dir || '/' || name as path, case when name = 'Makefile' then 'automation' when name = 'Dockerfile' then 'runtime' else 'build' end as kind,
-  (case when name = 'Makefile' then len(ids) when own is null then (case when name = 'Dockerfile' then len(ids) else 0 end) else 1 end)::bigint as affected from near, every where name <> 'main.go'""")
+@query(f"""with {PROJECT}, near as (select n.dir, n.name, max(r.language || ':' || r.dir) as nearest, max(r.language || ':' || r.dir) filter (r.language = l.language) as own, max(l.language) as language
+  from names n left join lang_of l using (name) left join roots r using (dir) group by 1, 2),
+kinds as (select *, case when name in ('go.mod', 'Cargo.toml', 'package.json', 'pom.xml') then 'build' when name in ('go.sum', 'yarn.lock') then 'dependency' when name = 'Makefile' then 'automation'
+  when name in ('app.yaml', 'x.conf') then 'runtime' end as kind from near)
+select dir || '/' || name as path, kind, case kind when 'build' then own when 'dependency' then coalesce(own, nearest) when 'runtime' then nearest end as root_id, kind = 'automation' as all_roots,
+  (kind <> 'automation' and case kind when 'build' then own when 'dependency' then coalesce(own, nearest) else nearest end is null) as unresolved from kinds where kind is not null""")
 def config_affects_roots(spark, sf):
+    """Build files concern their own root, lock files the root of their language, runtime files the nearest, scripts every root."""
+    files = _project_files(spark, sf)
+    return project.config_edges(files, project.discover_roots(files)).drop("affected")
+
+
+@query(f"with {PROJECT} select dir || '/' || name as path, case name when 'Dockerfile' then 'container' else 'dot_env' end as kind, true as all_roots, false as unresolved from names where name in ('Dockerfile', '.env')")
+def environment_edges(spark, sf):
     files = _project_files(spark, sf)
-    return project.config_edges(files, project.discover_roots(files)).select("path", "kind", F.size("affected").cast("long").alias("affected"))
+    return project.environment_edges(files, project.discover_roots(files))
+
+
+@query(f"with {PROJECT} select n.dir || '/' || n.name as path, r.language || ':' || r.dir as root_id from names n, roots r where n.name in ('Makefile', 'Dockerfile') and n.dir = 'src1/de'")
+def affected_roots(spark, sf):
+    """Every root that the scripts and containers of one directory concern."""
+    files = _project_files(spark, sf)
+    roots = project.discover_roots(files)
+    edges = project.config_edges(files, roots).select("path", "affected", "all_roots").unionByName(project.environment_edges(files, roots).select("path", F.array().cast("array<string>").alias("affected"), "all_roots"))
+    return project.affected_roots(edges.where("path in ('src1/de/Makefile', 'src1/de/Dockerfile')"), roots)
 
 
 @query("select event_id, 'k' as key_path, regexp_extract(props, '\"k\": *([0-9]+)', 1) as value from events")
@@ -459,19 +519,21 @@ def json_key_values(spark, sf):
 SECRETS = "('password', 'passwd', 'secret', 'token', 'apikey', 'api_key', 'accesskey', 'privatekey', 'credential', 'auth', 'bearer', 'clientsecret')"
 
 
-@query(f"""with {LINES}, bare as (select path, line, text, lower(text) as low, regexp_replace(lower(text), '[^a-z0-9]', '', 'g') as b from lines),
-terms as (select unnest({SECRETS.replace('(', '[').replace(')', ']')}) as t)
-select path, line, '***' as preview from bare where exists (select 1 from terms where contains(low, t) or contains(b, t))""")
+@query(f"""with {LINES}, bare as (select path, line, text, lower(text) as low, regexp_replace(lower(text), '[^a-z0-9]', '', 'g') as b from lines where line <= 3),
+shown as (select *, contains(low, 'secret') or contains(low, 'token') or contains(low, 'password') or contains(low, 'passwd') or contains(low, 'credential') or contains(b, 'secret') or contains(b, 'token') or contains(b, 'password')
+  or contains(b, 'passwd') or contains(b, 'credential') or contains(b, 'apikey') or contains(b, 'privatekey') or contains(b, 'accesskey') or contains(b, 'authkey') as hidden, regexp_replace(regexp_replace(trim(text, ' '), '^"+|"+$', '', 'g'), '^''+|''+$', '', 'g') as t from bare)
+select path, line, case when hidden then '***' when length(t) > 160 then t[1:160] || '...' else t end as preview from shown""")
 def masked_preview(spark, sf):
-    """Lines that hold a secret term, masked."""
-    f = corpus.corpus_files(spark, sf).select("path", F.posexplode(text.lines(F.col("content"))).alias("k", "text"))
-    return f.where(text.is_secret(F.col("text"))).select("path", (F.col("k") + 1).cast("long").alias("line"), text.masked_preview(F.col("text"), F.col("text")).alias("preview"))
+    """The first three lines of every file as previews of values: secret-like ones masked, long ones cut."""
+    f = corpus.corpus_files(spark, sf).select("path", F.posexplode(F.slice(text.lines(F.col("content")), 1, 3)).alias("k", "text"))
+    return f.select("path", (F.col("k") + 1).cast("long").alias("line"), text.masked_preview(F.lit(""), F.col("text")).alias("preview"))
 
 
-@query("select p_partkey as id, p_type as key_path from part where lower(p_type) = 'steel' or ends_with(lower(p_type), '.steel') or contains(lower(p_type), 'steel')")
+@query("select p_partkey as id, 'part.' || replace(p_name, ' ', '.') as key_path from part where contains('part.' || replace(p_name, ' ', '.'), 'widget')")
 def key_filter(spark, sf):
-    p = corpus.table(spark, sf, "part")
-    return p.where(config.key_matches(F.col("p_type"), "STEEL")).select(F.col("p_partkey").alias("id"), F.col("p_type").alias("key_path"))
+    """Parts' names as dotted keys; case counts, so nothing matches WIDGET."""
+    p = corpus.table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.concat(F.lit("part."), F.regexp_replace("p_name", " ", ".")).alias("key_path"))
+    return p.where(config.key_matches(F.col("key_path"), " widget ") & ~config.key_matches(F.col("key_path"), "WIDGET"))
 
 
 PROBES = "probes as (select event_id as probe_id, user_id as root_id, event_type as provider, (event_id * 7 % 5)::bigint as priority, user_id % 10 as k from events)"
@@ -493,17 +555,24 @@ def probe_deferral(spark, sf):
     return states.schedule(_probes(spark, sf), 40, 2)
 
 
-@query("with h as (select source, string_agg(path, chr(10) order by path) as all_, count(*)::bigint as n from (select source, doc_id::varchar || ':' || sha256(text) as path from documents) group by 1) select source, sha256(all_) as digest, n from h")
+@query("""with h as (select source, sha256(doc_id::varchar || ':' || sha256(text)) as d from documents),
+lanes as (select source, d, unnest(range(0, 8)) as k from h),
+sums as (select source, k, sum(('0x' || d[8 * k + 1:8 * k + 8])::bigint)::hugeint % 2305843009213693952 as s from lanes group by 1, 2),
+n as (select source, count(*)::bigint as n from documents group by 1)
+select source, string_agg(lpad(lower(to_hex(s::bigint)), 16, '0'), '' order by k) as digest, any_value(n) as n from sums join n using (source) group by 1""")
 def set_digest_per_source(spark, sf):
     d = corpus.table(spark, sf, "documents")
     return catalog.set_digest(d, ["source"], F.concat_ws(":", F.col("doc_id").cast("string"), F.sha2("text", 256)))
 
 
-FOLD = """recursive ev as (select 'u/' || user_id::varchar as path, event_id as seq, case event_type when 'signup' then 'create' when 'view' then 'modify' when 'click' then 'modify' when 'purchase' then 'rename' else 'remove' end as kind, row_number() over (partition by user_id order by event_id) as n, count(*) over (partition by user_id) as total from events),
+FOLD = """recursive ev as (select 'u/' || user_id::varchar as path, event_id as seq, case event_type when 'signup' then 'create' when 'view' then 'modify' when 'click' then 'touch' when 'purchase' then (case when event_id % 3 = 0 then 'rename' else 'rename_from' end) else 'remove' end as kind, row_number() over (partition by user_id order by event_id) as n, count(*) over (partition by user_id) as total from events),
 fold as (
-  select path, n, total, seq, case kind when 'create' then 'added' when 'modify' then 'modified' when 'rename' then 'renamed' else 'deleted' end as state, case when kind = 'rename' then path || '.old' end as previous_path from ev where n = 1
+  select path, 0::bigint as n, any_value(total) as total, 0::bigint as seq, null::varchar as state, null::varchar as previous_path from ev group by 1
   union all
-  select e.path, e.n, e.total, e.seq, case e.kind when 'create' then case when f.state = 'deleted' then 'modified' else coalesce(f.state, 'added') end when 'modify' then coalesce(f.state, 'modified') when 'rename' then 'renamed' else case when f.state = 'added' then null else 'deleted' end end, case when e.kind = 'rename' then e.path || '.old' else f.previous_path end
+  select e.path, e.n, e.total, e.seq,
+    case when e.kind = 'rename' then 'renamed' when f.state is null then case e.kind when 'create' then 'added' when 'remove' then 'deleted' when 'rename_from' then 'renamed' else 'modified' end
+      when f.state = 'added' then case e.kind when 'modify' then 'modified' when 'remove' then null else 'added' end else f.state end,
+    case when e.kind = 'rename' then e.path || '.old' else f.previous_path end
   from fold f join ev e on e.path = f.path and e.n = f.n + 1)"""
 
 
@@ -512,18 +581,14 @@ def event_fold_batch(spark, sf):
     return ev.fold(corpus.change_events(corpus.table(spark, sf, "events")))
 
 
-@query()
+@query(f"with {FOLD} select path, state, previous_path, seq as last_seq from fold where n = total and state is not null")
 def event_fold_stream(spark, sf):
-    """The fold as a stream over the whole table, drained; the last row of each path."""
+    """The fold as a stream over the whole table, drained into files; the last row of each path."""
     import uuid
 
     source = spark.readStream.schema(corpus.table(spark, sf, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf)
-    name = f"fold_{uuid.uuid4().hex}"
-    run = ev.fold_stream(corpus.change_events(source)).writeStream.format("memory").queryName(name).outputMode("update").trigger(availableNow=True)
-    if top := spark.conf.get("spark.checkpoint.dir", None):
-        run = run.option("checkpointLocation", f"{top}/{name}")
-    run.start().awaitTermination()
-    last = spark.table(name).groupBy("path").agg(F.max_by(F.struct("state", "previous_path"), "last_seq").alias("s"), F.max("last_seq").alias("last_seq"))
+    rows = ev.drain(ev.fold_stream(corpus.change_events(source)), f"{shared_dir(spark)}/fold-{uuid.uuid4().hex}")
+    last = rows.groupBy("path").agg(F.max_by(F.struct("state", "previous_path"), F.struct("last_seq", "batch")).alias("s"), F.max("last_seq").alias("last_seq"))
     return last.select("path", "s.state", "s.previous_path", "last_seq").where("state is not null")
 
 
@@ -570,3 +635,6 @@ def source_extract(spark, sf):
     """Symbols, imports and calls of generated source in five languages."""
     files = spark.createDataFrame(SOURCES, "path string, content string").withColumn("language", text.language_of(F.col("path")))
     return extract.candidates(files)
+
+
+from . import queries_store  # noqa: E402, F401  registers more queries

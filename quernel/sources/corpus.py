@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.search import hits_of as _hits
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -26,15 +28,17 @@ def conversation_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select(F.format_string("conv/%d", "conv_id").alias("path"), F.col("turn").alias("line"), "role", F.col("text").alias("content"))
 
 
-#: Event types as changes of files.
-CHANGE = {"signup": "create", "view": "modify", "click": "modify", "purchase": "rename", "error": "remove"}
+#: Event types as changes of files; a third of the purchases are whole renames, the others the first half of one.
+CHANGE = {"signup": "create", "view": "modify", "click": "touch", "error": "remove"}
 
 
 def change_events(events: DataFrame) -> DataFrame:
     """seq, ts, path, kind, previous_path from the events table, batch or stream."""
     kind = F.create_map(*(F.lit(x) for kv in CHANGE.items() for x in kv))
     path = F.format_string("u/%d", "user_id")
-    return events.select(F.col("event_id").alias("seq"), "ts", path.alias("path"), F.try_element_at(kind, F.col("event_type")).alias("kind"), F.when(F.col("event_type") == "purchase", F.concat(path, F.lit(".old"))).alias("previous_path"))
+    moved = F.col("event_type") == "purchase"
+    kind = F.when(moved, F.when(F.col("event_id") % 3 == 0, "rename").otherwise("rename_from")).otherwise(F.try_element_at(kind, F.col("event_type")))
+    return events.select(F.col("event_id").alias("seq"), "ts", path.alias("path"), kind.alias("kind"), F.when(kind == "rename", F.concat(path, F.lit(".old"))).alias("previous_path"))
 
 
 def snapshots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -63,9 +67,5 @@ def page_links(pages: DataFrame) -> DataFrame:
 
 
 def _tags(pages: DataFrame, regex: str, name: str) -> DataFrame:
-    found = F.regexp_extract_all("html", F.lit(regex), 0)
-    parts = F.split("html", regex, -1)
-    at = lambda k: (F.aggregate(F.slice(F.col("parts"), 1, k + 1), F.lit(0), lambda a, x: a + F.length(x)) + F.aggregate(F.slice(F.col("found"), 1, k), F.lit(0), lambda a, x: a + F.length(x))).cast("long")
-    base = pages.select("page_id", found.alias("found"), parts.alias("parts")).where("size(found) > 0")
-    each = base.select("page_id", F.posexplode(F.transform("found", lambda x, k: F.struct(x.alias("tag"), at(k).alias("pos")))).alias("ordinal", "hit"))
-    return each.select("page_id", F.col("ordinal").cast("long").alias("ordinal"), F.regexp_extract("hit.tag", regex, 1).alias(name), F.col("hit.pos").alias("pos"), F.length("hit.tag").cast("long").alias("width"))
+    each = pages.select("page_id", F.posexplode(_hits(F.col("html"), regex)).alias("ordinal", "hit"))
+    return each.select("page_id", F.col("ordinal").cast("long").alias("ordinal"), F.regexp_extract("hit.hit", regex, 1).alias(name), F.col("hit.at").cast("long").alias("pos"), F.length("hit.hit").cast("long").alias("width"))

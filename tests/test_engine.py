@@ -1,13 +1,16 @@
 """Patterns, names, verbs, extraction, configuration, projects, states and snapshots on small fixtures."""
 
+import random
 import subprocess
 
 import pytest
+from pyspark.sql import functions as F
 
 from quernel.functions import names, patterns
-from quernel.operators import catalog, config, extract, graph, paging, project, search, states
-from quernel.plans.api import Engine, RangeError, parse_target
-from quernel.sources import workspace
+from quernel.operators import catalog, config, diffs, extract, graph, paging, project, search, states
+from quernel.plans import response
+from quernel.plans.api import Engine, RangeError, ReplayError, parse_target
+from quernel.sources import archive, scip, workspace
 from quernel.streaming import events
 
 FILES = [
@@ -33,7 +36,10 @@ def test_patterns():
     for bad in ("(", "(?=x)", r"(a)\1", "(?<!x)"):
         with pytest.raises(patterns.PatternError):
             patterns.Pattern(bad, "regex")
-    assert patterns.broad_reason("path", "**/*") and patterns.broad_reason("content", "x") and not patterns.broad_reason("content", "needle")
+    assert patterns.broad_reason("files", "**/*") == "broad_path_pattern" and patterns.broad_reason("find", "x") and not patterns.broad_reason("find", "needle")
+    assert patterns.broad_reason("grep", ".+", "regex") == "broad_regex_pattern" and patterns.broad_reason("refs", " export ") == "broad_literal_pattern"
+    for free in ("data", "def", "Class", "get", "name", "test"):
+        assert patterns.broad_reason("find", free) is None
 
 
 def test_find_modes(engine):
@@ -60,7 +66,7 @@ def test_pages_and_cursors(engine):
     with pytest.raises(paging.CursorError):
         engine.find("helper", limit=3, cursor=one.next_cursor)
     broad = engine.find("e")
-    assert broad.guard == "broad_literal" and broad.results.count() == 5 and broad.next_cursor is None
+    assert broad.guard == "broad_literal_pattern" and broad.results.count() == 5 and broad.next_cursor is None
     assert paging.preview_chars(1, 1, 1) == 240 and paging.preview_chars(30, 1, 1) == 160 and paging.preview_chars(300, 1, 1) == 96
 
 
@@ -76,8 +82,11 @@ def test_paths_browse_read(engine):
 
 
 def test_names():
-    assert names.style_key("getHTTPName") == "get_http_name" and names.qualified_tail("a.B::run(x.y)") == "run"
-    assert dict(names.variants(" pkg.Foo.bar(int) "))["bar"] == "qualified_tail" and len(names.variants("a" * 3)) <= 16
+    assert names.style_key("getHTTPName") == "get_httpname" and names.style_key("-a1B--cD_") == "a1_b_c_d" and names.qualified_tail("a.B::run(x)") == "run(x)"
+    found = names.variants(" pkg.Foo.bar(int) ")
+    assert found[:5] == [(" pkg.Foo.bar(int) ", "raw"), ("pkg.Foo.bar(int)", "trimmed"), ("pkg.Foo.bar", "signature_base"), ("bar(int)", "qualified_tail"), ("bar", "signature_tail")]
+    assert ("pkg_foo_bar", "style_key") in found and ("bar", "case_fold") in found and len(found) <= 13 and len(set(found)) == len(found)
+    assert [names.needs_expansion(x) for x in ("Foo", "foo_bar", "a-b", " x", "f()", "a.b", "fooBar")] == [False, True, True, True, True, True, False]
     assert names.scip_symbol("s", "m", "p", "1", [names.Descriptor("a b", "type"), names.Descriptor("f", "method", "+1")]) == "s m p 1 `a b`#f(+1)."
     assert names.like_method("a_b") == r"a\_b(%" and names.last_identifier("x.y()") == "y"
 
@@ -102,8 +111,6 @@ def test_config(spark):
 
 def test_project(spark):
     paths = ["go.mod", "svc/go.mod", "svc/main.go", "main.go", "web/package.json", "web/tsconfig.json", "web/x.gen.ts", "go.work", "Makefile", "svc/Dockerfile"]
-    from pyspark.sql import functions as F
-
     from quernel.functions.text import language_of
 
     f = spark.createDataFrame([(p,) for p in paths], "path string").withColumn("language", language_of(F.col("path")))
@@ -112,14 +119,33 @@ def test_project(spark):
     own = {r.path: (r.root_id, r.generated) for r in project.owners(f, roots).collect()}
     assert own["svc/main.go"] == ("go:svc", False) and own["main.go"][0] == "go:." and own["web/x.gen.ts"] == ("typescript:web", True)
     edges = {r.path: r for r in project.config_edges(f, roots).collect()}
-    assert len(edges["Makefile"].affected) == 3 and edges["svc/Dockerfile"].affected == ["go:svc"]
+    assert edges["Makefile"].all_roots and "svc/Dockerfile" not in edges and edges["go.work"].affected == ["go:."]
+    more = spark.createDataFrame([(p,) for p in ("svc/go.sum", "web/yarn.lock", "lib/x.yml", "config/a.ini", "x.toml", "web/Cargo.lock")], "path string")
+    got = {r.path: (r.kind, r.root_id, r.all_roots, r.unresolved) for r in project.config_edges(more, roots).collect()}
+    assert got["svc/go.sum"] == ("dependency", "go:svc", False, False) and got["web/yarn.lock"][1] == "typescript:web" and got["web/Cargo.lock"][1] == "typescript:web"
+    assert got["lib/x.yml"] == ("runtime", "go:.", False, False) and got["config/a.ini"][2] and got["x.toml"][2]
+    env = {r.path: r.kind for r in project.environment_edges(spark.createDataFrame([(p,) for p in ("svc/Dockerfile", "a/.env.dev", "k8s/x.yml", "docker-compose.yaml", "env")], "path string"), roots).collect()}
+    assert env == {"svc/Dockerfile": "container", "a/.env.dev": "dot_env", "k8s/x.yml": "kubernetes", "docker-compose.yaml": "compose"}
+    none = project.discover_roots(f.limit(0))
+    assert project.config_edges(more, none).where("not unresolved").count() == 0 and project.caveats(project.config_edges(more, none)).count() == 6
+    assert {r.kind for r in project.dependency_edges(f, roots).collect()} == {"build_affects_root", "automation_affects_root", "environment_affects_root", "root_depends_on_root"}
     assert [(r.from_root, r.to_root) for r in project.root_edges(f, roots).collect()] == [("go:.", "go:svc")]
 
 
 def test_events_and_states(spark):
-    rows = [(1, "a", "create"), (2, "a", "modify"), (3, "a", "remove"), (4, "b", "modify"), (5, "c", "remove"), (6, "c", "create"), (7, "d", "rename")]
+    rows = [(1, "a", "create"), (2, "a", "modify"), (3, "a", "remove"), (4, "b", "modify"), (5, "c", "remove"), (6, "c", "create"), (7, "d", "rename"), (8, "d", "remove"), (9, "e", "create"), (10, "e", "remove"), (11, "f", "rename_to"), (12, "f", "touch")]
     df = spark.createDataFrame([(s, p, k, "old" if k == "rename" else None) for s, p, k in rows], "seq long, path string, kind string, previous_path string")
-    assert {r.path: (r.state, r.previous_path) for r in events.fold(df).collect()} == {"b": ("modified", None), "c": ("modified", None), "d": ("renamed", "old")}
+    assert {r.path: (r.state, r.previous_path) for r in events.fold(df).collect()} == {"a": ("modified", None), "b": ("modified", None), "c": ("deleted", None), "d": ("renamed", "old"), "f": ("added", None)}
+    r = random.Random(1)
+    many = [(k, f"p{r.randrange(40)}", r.choice(events.KINDS)) for k in range(1500)]
+    state = {}
+    for _, p, k in many:
+        state[p] = events.step(state.get(p), k)
+    df = spark.createDataFrame([(s, p, k, None) for s, p, k in many], "seq long, path string, kind string, previous_path string")
+    assert {r.path: r.state for r in events.fold(df).collect()} == {p: s for p, s in state.items() if s}
+    one = spark.range(300_000).select(F.col("id").alias("seq"), F.lit("x").alias("path"), F.when(F.col("id") % 2 == 0, "create").otherwise("remove").alias("kind"), F.lit(None).cast("string").alias("previous_path"))
+    assert events.fold(one).count() == 0 and events.fold(one.where("seq < 299999")).first().state == "added"
+    assert states.TRANSITIONS["retrying"] == ("ready", "partial") and sum(map(len, states.TRANSITIONS.values())) == 13
     m = spark.createDataFrame([("r", "go", "p", "fresh"), ("s", "go", "p", "stale")], "root_id string, language string, provider string, state string")
     assert states.gate(m).first().allows_precise is False and states.gate(states.query_manifests(m, root="r")).first().allows_precise is True
     assert states.semantic_budget_ms(0, 9) == 60_000 and states.semantic_budget_ms(1, 10) == 250_000
@@ -159,3 +185,107 @@ def test_workspace(spark, tmp_path):
     assert [bytes(r.content) for r in workspace.staged_files(spark, str(tmp_path)).collect()] == [b"1"]
     workspace.save_query(str(tmp_path / "q"), "n", "find", {"text": "x"}, "s")
     assert workspace.load_query(str(tmp_path / "q"), "n")["args"] == {"text": "x"} and workspace.list_queries(str(tmp_path / "q")) == ["n"]
+
+
+def test_scip_bytes(spark, tmp_path):
+    two = scip.encode("a.go", "go", [{"range": [0, 5, 300], "symbol": "s/Foo#", "symbolRoles": 1}, {"range": [2, 1, 3, 4], "symbol": "local 1", "symbolRoles": 0}], [{"symbol": "s/Foo#", "kind": "7", "displayName": "Foo"}]) + scip.encode("b.go", "go", [], [])
+    assert [d[0] for d in scip.decode(two)] == ["a.go", "b.go"]
+    (tmp_path / "i").mkdir()
+    (tmp_path / "i" / "x.scip").write_bytes(two)
+    rows = {r.symbol: r for r in scip.read_scip(spark, str(tmp_path / "i")).collect()}
+    assert (rows["s/Foo#"].line, rows["s/Foo#"].column, rows["s/Foo#"].end_column, rows["s/Foo#"].kind, rows["s/Foo#"].role) == (1, 6, 301, "class", "definition")
+    assert (rows["local 1"].symbol_key, rows["local 1"].end_line, rows["local 1"].role) == ("a.go::local 1", 4, "reference")
+    for bad in (two[:-3], b"\x0f", b"\x12\xff"):
+        with pytest.raises(scip.ScipError):
+            list(scip.decode(bad))
+    fact = ("a.go", "go", 1, 2, 1, 3, "s", "S", "class", "definition", "provider_confirmed")
+    schema = "path string, language string, start_line long, start_column long, end_line long, end_column long, symbol string, display_name string, kind string, role string, reliability string"
+    made = scip.index_rows(spark.createDataFrame([fact, fact, (*fact[:10], "parser_fallback")], schema)).collect()
+    assert len(made) == 1 and [len(d[2]) for d in scip.decode(bytes(made[0].document))] == [1]
+    for wrong in ((fact[0], "rust", *fact[2:]), (*fact[:4], 0, 9, *fact[6:])):
+        with pytest.raises(Exception, match="mixed languages|precedes"):
+            scip.index_rows(spark.createDataFrame([fact, wrong], schema)).collect()
+    (tmp_path / "l.json").write_text('{"path": "x.py", "language": "python", "symbols": [{"name": "A", "kind": 5, "range": {"start": {"line": 0, "character": 0}, "end": {"line": 3, "character": 0}}, "children": [{"name": "f", "kind": 6, "range": {"start": {"line": 1, "character": 4}, "end": {"line": 2, "character": 0}}}]}]}\n')
+    assert [(r.name, r.kind, r.line, r.symbol) for r in scip.read_lsp(spark, str(tmp_path / "l.json")).orderBy("line").collect()] == [("A", "class", 1, "lsp x.py/A#"), ("f", "method", 2, "lsp x.py/A.f#")]
+
+
+def test_archives(spark, files, tmp_path):
+    top = str(tmp_path)
+    Engine(files, snapshot="commit:a").build(f"{top}/i")
+    archive.pack(spark, f"{top}/i", "commit:a", f"{top}/p", {"lang": ["go"]})
+    assert archive.unpack(spark, f"{top}/p", f"{top}/j") == "commit:a"
+    with pytest.raises(archive.ArchiveError, match="already exists"):
+        archive.unpack(spark, f"{top}/p", f"{top}/j")
+    assert archive.fallback(spark, f"{top}/j", "commit:b", "catalog", {"lang": ["go"]}).count() == 4 and archive.fallback(spark, f"{top}/j", "commit:b", "catalog") is None
+    assert [r.snapshot_id for r in archive.remote_snapshots(spark, f"{top}/j").collect()] == ["commit:a"] and archive.fallback(spark, f"{top}/i", "commit:a", "catalog").first().source == "local"
+    part = next((tmp_path / "p" / "data" / "catalog").glob("*.parquet"))
+    (part.parent / f".{part.name}.crc").unlink()
+    part.write_bytes(part.read_bytes()[:-1] + b"x")
+    with pytest.raises(archive.ArchiveError, match="checksum mismatch"):
+        archive.unpack(spark, f"{top}/p", f"{top}/k")
+
+
+def test_engine_over_a_stored_index(spark, files, tmp_path):
+    top = str(tmp_path / "i")
+    e = Engine(files, snapshot="s")
+    assert e.index_status(top) == {"exists": False, "fresh": False, "reason": "index_missing"} and e.update(top)["updated"]
+    assert e.update(top)["reason"] == "index_fresh" and e.skipped(top).count() == 0
+    moved = files.where("path <> 'lib/c.go'").withColumn("content", F.when(F.col("path") == "src/b.py", "new needle\n").otherwise(F.col("content")))
+    now = Engine.open(moved.unionByName(spark.createDataFrame([("n.py", "python", "needle helper", 13)], files.schema)), top, "s")
+    assert {(r.path, r.source_reason) for r in now.find("needle", limit=0).results.collect()} == {("src/b.py", "live_overlay"), ("n.py", "live_overlay")}
+    assert {(r.path, r.source_reason) for r in now.find("helper", limit=0).results.collect()} == {("src/a.py", "index"), ("n.py", "live_overlay")}
+    assert now.reconciled(top).count() == 3 and now.clean(top) and not now.index_status(top)["exists"]
+    scoped = Engine(files, changed_paths=files.where("path like 'src%'").select("path"))
+    assert {r.path for r in scoped.find("e", scope=search.Scope(changed=True), allow_broad=True, limit=0).results.collect()} == {"src/a.py", "src/b.py"}
+    with pytest.raises(search.ScopeError):
+        Engine(files).find("x", scope=search.Scope(changed=True))
+    with pytest.raises(search.ScopeError):
+        search.Scope(dirs=("../x",))
+    assert {r.path for r in scoped.defs("helper", scope=search.Scope(dirs=("lib",))).results.collect()} == set()
+
+
+def test_batches_and_replay(engine):
+    q = [diffs.BatchQuery("b", "find", {"text": "helper"}, ("a",)), diffs.BatchQuery("a", "defs", {"name": "helper"})]
+    assert list(engine.batch(q)) == ["a", "b"] and engine.batch(q)["a"].total == 1
+    for bad in ([q[0]], [q[1], q[1]], [diffs.BatchQuery("a", "find", {}, ("b",)), diffs.BatchQuery("b", "find", {}, ("a",))]):
+        with pytest.raises(ValueError, match="no query|one name|wait"):
+            diffs.batch_order(bad)
+    saved = {"name": "q", "verb": "find", "args": {"text": "helper", "scope": {"dirs": ["src"]}, "cursor": "v1:x:1"}, "snapshot": "commit:old"}
+    page = engine.replay(saved)
+    assert page.total > 0 and "replay_snapshot_mismatch" in page.caveats
+    with pytest.raises(ReplayError):
+        engine.replay(saved, strict=True)
+    assert diffs.query_limit(0) == (1000, True) and diffs.query_limit(5) == (5, False) and diffs.query_limit(5000) == (1000, True)
+
+
+def test_responses(engine):
+    none = response.envelope("defs", {"name": "nothing"}, "s", "parser_fact", engine.defs("nothing"))
+    assert none["warnings"][0]["code"] == "no_match" and [a["verb"] for a in none["nextActions"]] == ["find", "symbols", "defs"] and {c["code"]: c["severity"] for c in none["caveats"]} == {"no_match": "warning", "parser_fact": "info"}
+    some = response.envelope("find", {"text": "helper"}, "s", "source_fact", engine.find("helper", limit=2))
+    assert some["nextCursor"] and not some["truncated"] and "producer" not in some["results"][0] and some["suggestedReads"][0].startswith("src/a.py:")
+    broad = response.envelope("find", {"text": "e"}, "s", "source_fact", engine.find("e"))
+    assert broad["truncated"] and broad["caveats"][-1]["code"] == "broad_query_guard" and len(broad["results"]) == 5
+    assert response.stable_code("precise_scip_index_unavailable; x") == "precise_scip_index_unavailable" and response.stable_code("Some Thing-x: y") == "some_thing_x"
+
+
+def test_shapes_that_were_quadratic(spark):
+    from quernel.functions import text as t
+
+    df = spark.createDataFrame([("a\n" * 20000,), ("",), ("é\nx",), ("\n",)], "c string")
+    got = [r.o for r in df.select(t.line_offsets(F.col("c")).alias("o")).collect()]
+    assert got[0] == list(range(0, 40000, 2)) and got[1:] == [[], [0, 3], [0]]
+    hits = spark.createDataFrame([("é the " * 5000,)], "c string").select(F.explode(search.hits_of(F.col("c"), "the")).alias("h")).select("h.at").collect()
+    assert [r.at for r in hits] == list(range(2, 30000, 6))
+    line = spark.createDataFrame([("aé\U0001f600b", 3, 1), ("aé\U0001f600b", 7, 4), ("aé\U0001f600b", 2, 3), ("", 0, 0)], "s string, b int, u int")
+    assert [(r.x, r.y) for r in line.select(t.bytes_to_chars(F.col("s"), F.col("b")).alias("x"), t.utf16_to_chars(F.col("s"), F.col("u")).alias("y")).collect()] == [(2, 1), (3, 3), (None, None), (0, 0)]
+
+
+def test_nested_definitions(spark):
+    r = random.Random(3)
+    defs = [("p", f"d{k}", a, a + r.randint(0, 60)) for k, a in enumerate(r.randrange(200) for _ in range(40))]
+    refs = [("p", r.randrange(-5, 300)) for _ in range(120)] + [("q", 1)]
+    got = {(x.path, x.pos): x.enclosing for x in graph.enclosing(spark.createDataFrame(refs, "path string, pos long"), spark.createDataFrame(defs, "path string, name string, pos long, until long")).collect()}
+    for path, pos in refs:
+        before = [d for d in defs if path == "p" and d[2] <= pos]
+        best = max(before, key=lambda d: (d[3] >= pos, d[2], -d[3], d[1]), default=None)
+        assert got[path, pos] == (best[1] if best else None)
