@@ -40,7 +40,7 @@ def windows(turns: Iterator[tuple[str, str]], budget: int = BUDGET, history: int
     Prefix sums of the turns' lengths choose the spans: a window ends before the turn that would pass the budget. The first turn, if it is
     a system turn, opens every window; then come as many of the latest turns before the window as fit in `history`; then new turns, one at least.
     Only the new assistant turns are under the mask, so each is a target once. A turn past the budget is a window of its own, never cut.
-    turns has (start, end, repeated) for each, in code points of formatted.
+    turns has (start, end, repeated) for each, in code points of formatted; repeated ones come first.
     """
     system, past, past_size = "", [], 0
     new, size, k = [], 0, 0
@@ -83,15 +83,24 @@ def windows(turns: Iterator[tuple[str, str]], budget: int = BUDGET, history: int
         yield close()
 
 
-def read_back(formatted: str, mask: list, marks: list) -> tuple[list[tuple[str, str]], list[str]]:
-    """The new turns and the unescaped text of each masked span of a window."""
+def parse(formatted: str) -> list[tuple[str, str]]:
+    """The turns of a window, told by its control strings alone. Text that isn't whole turns, one after the other, is an error: so no text inside a turn can pass for another one."""
+    first, *parts = formatted.split(BEGIN)
+    if first:
+        raise ValueError("text before the first turn")
     turns = []
-    for start, end, repeated in marks:
-        if not repeated:
-            body = formatted[start + len(BEGIN) : end - len(END) - 1]
-            role, _, text = body.partition("\n")
-            turns.append((unescape(role.replace(BREAK, "\n")), unescape(text)))
-    return turns, [unescape(formatted[a:b]) for a, b in mask]
+    for part in parts:
+        body, end, rest = part.partition(END)
+        role, line, text = body.partition("\n")
+        if not end or rest != "\n" or not line or BREAK in text:
+            raise ValueError("a turn that doesn't end where the next begins")
+        turns.append((unescape(role.replace(BREAK, "\n")), unescape(text)))
+    return turns
+
+
+def read_back(formatted: str, mask: list, repeated: int) -> tuple[list[tuple[str, str]], list[str]]:
+    """The new turns of a window, those after the `repeated` ones that open it, and the unescaped text of each masked span."""
+    return parse(formatted)[repeated:], [unescape(formatted[a:b]) for a, b in mask]
 
 
 def _ordered(conversations: DataFrame) -> DataFrame:
@@ -144,7 +153,7 @@ def digest(conversations: DataFrame, budget: int = BUDGET, history: int = HISTOR
         for conv, own in _conversations(batches):
             said, loss, n, chars, size, parts = hashlib.sha256(), hashlib.sha256(), 0, 0, 0, 0
             for text, mask, marks in windows(own, budget, history):
-                turns, targets = read_back(text, mask, marks)
+                turns, targets = read_back(text, mask, sum(r for *_, r in marks))
                 for role, body in turns:
                     said.update(f"{role}\n{body}\n".encode("utf-8", "surrogatepass"))
                 for target in targets:
