@@ -3,22 +3,23 @@
 from __future__ import annotations
 
 import base64
-import functools
+import hashlib
 import heapq
 import re
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import resident, text_udf
 from .hashing import mix
 
-#: Pieces of text whose ids a worker keeps; when full, it starts anew.
-CACHE = 400_000
+#: Pieces of text whose ids a worker keeps during a task; when full, it starts anew.
+CACHE = 300_000
 
 
 class PerfectHash:
@@ -115,27 +116,36 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 class PieceCache(dict):
     """Ids of pieces of text, as the bytes of int32 arrays, which join fast, for encoders that never join across a space before a visible character.
 
-    split() cuts a text before such spaces. The first piece has no space before it; every other stands for itself with its space.
-    `encode` gets distinct pieces that aren't known yet and gives their ids.
+    A text is cut before such spaces. Its first piece has no space before it; every other stands for itself with its space. `starts` encodes first pieces;
+    `pieces` gets distinct pieces, each with its space, that aren't known yet and gives the bytes of their ids. At half of `most` pieces a new generation begins; those of the last one
+    that come again move to it, so frequent pieces stay.
     """
 
-    CUT = re.compile(r" (?=[!-~À-ɏ])")
+    VISIBLE = "!-~À-ɏ"
+    CUT, OTHER = re.compile(f" (?=[{VISIBLE}])"), re.compile(f" (?![{VISIBLE}])")
 
-    def __init__(self, encode: Callable[[list[str]], Iterable[np.ndarray]], most: int = CACHE):
+    def __init__(self, starts: Callable[[list[str]], list[np.ndarray]], pieces: Callable[[list[str]], list[bytes]], most: int = CACHE):
         super().__init__()
-        self.encode, self.most = encode, most
+        self.starts, self.encode, self.most, self.last = starts, pieces, most, {}
 
     def batch(self, texts: list[str]) -> list[np.ndarray]:
-        cut = [self.CUT.split(t) for t in texts]
-        firsts = [c[0] for c in cut]
-        new = {p for c in cut for p in c[1:]}.difference(self)
-        if len(self) + len(new) > self.most:
+        cut = [self.CUT.split(t) if self.OTHER.search(t) else t.split(" ") for t in texts]
+        firsts = [c.pop(0) for c in cut]
+        own = set().union(*cut)
+        new = own.difference(self)
+        if 2 * (len(self) + len(new)) > self.most:
+            self.last = dict(self)
             self.clear()
-            new = {p for c in cut for p in c[1:]}
-        fresh = sorted(new)
-        self.update(zip(fresh, (ids.tobytes() for ids in self.encode([" " + p for p in fresh])), strict=True))
-        starts = self.encode(firsts)
-        return [np.frombuffer(b"".join([a.tobytes(), *map(self.__getitem__, c[1:])]), np.int32) if len(c) > 1 else a for a, c in zip(starts, cut, strict=True)]
+            new = own
+        again = new.intersection(self.last)
+        self.update((p, self.last[p]) for p in again)
+        fresh = list(new.difference(again))
+        self.update(zip(fresh, self.encode([" " + p for p in fresh]), strict=True))
+        return [np.frombuffer(b"".join([a.tobytes(), *map(self.__getitem__, c)]), np.int32) if c else a for a, c in zip(self.starts(firsts), cut, strict=True)]
+
+    def forget(self) -> None:
+        self.clear()
+        self.last = {}
 
 
 class Tokenizer:
@@ -148,7 +158,7 @@ class Tokenizer:
         self.whole = PerfectHash(list(self.ranks), list(self.ranks.values()))
         self.bytes_of = {v: k for k, v in self.ranks.items()}
         self.decimal = {v: str(v) for v in self.bytes_of}
-        self.pieces = PieceCache(self._pieces, most)
+        self.pieces = PieceCache(self._pieces, lambda pieces: [x.tobytes() for x in self._pieces(pieces)], most)
 
     def pre_tokens(self, tokens: list[bytes]) -> list[list[int]]:
         """Ids of each pre-token: the perfect hash first, the heap for misses."""
@@ -167,32 +177,28 @@ class Tokenizer:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
-@functools.lru_cache(maxsize=4)
 def tokenizer(path: str, pattern: str) -> Tokenizer:
-    """One for each worker process; built from the vocabulary file, whose size bounds it."""
-    return Tokenizer(path, pattern)
+    """One for each worker process; the vocabulary file and CACHE bound it, and its cache goes at the end of a task."""
+    return resident(f"bpe:{path}:{pattern}", lambda: Tokenizer(path, pattern))
 
 
 def encode_documents(docs: DataFrame, path: str, pattern: str, text_col: str = "text", out_col: str = "ids") -> DataFrame:
     """docs with a column of token ids for each whole text; null text gives none. Other columns stay; a column named out_col is replaced."""
 
-    @F.pandas_udf("array<int>")
-    def encode(texts: pd.Series) -> pd.Series:
-        t, out = tokenizer(path, pattern), []
-        for k in range(0, len(texts), 256):
-            out += t.encode([x or "" for x in texts.iloc[k : k + 256]])
-        return pd.Series(out)
+    def encode(texts: list[str | None]) -> pa.Array:
+        return pa.array(tokenizer(path, pattern).encode([x or "" for x in texts]), pa.list_(pa.int32()))
 
-    return docs.withColumn(out_col, encode(F.col(text_col)))
+    return docs.withColumn(out_col, text_udf(encode, "array<int>", after=lambda: tokenizer(path, pattern).pieces.forget())(F.col(text_col).cast("string")))
 
 
 def decode_documents(encoded: DataFrame, path: str, pattern: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
     """encoded with the bytes that each row's ids stand for. Null ids give no bytes; an id outside the vocabulary is an error."""
 
-    @F.pandas_udf("binary")
-    def decode(ids: pd.Series) -> pd.Series:
-        t = tokenizer(path, pattern)
-        return pd.Series([t.decode(x.tolist()) if x is not None else b"" for x in ids])
+    @F.arrow_udf("binary")
+    def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for ids in batches:
+            t = tokenizer(path, pattern)
+            yield pa.array([t.decode(x.as_py() or ()) for x in ids], pa.binary())
 
     return encoded.withColumn(out_col, decode(F.col(ids_col)))
 
@@ -201,16 +207,18 @@ ROUND_TRIP = "struct<n_tokens: long, ids_sha256: string, decoded_sha256: string>
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str, text_col: str = "text") -> DataFrame:
-    """docs with n_tokens, ids_sha256 (of the decimal ids joined by a space) and decoded_sha256 (of the bytes that decoding the ids gives)."""
-    import hashlib
+    """docs with n_tokens, ids_sha256 (of the decimal ids joined by a space) and decoded_sha256 (of the bytes that decoding the ids gives); columns of docs with these
+    names are replaced, whatever their case. Null text has no tokens. Repeated rows are encoded each; an empty table gives an empty result."""
 
-    @F.pandas_udf(ROUND_TRIP)
-    def digests(texts: pd.Series) -> pd.DataFrame:
+    def digests(texts: list[str | None]) -> pa.Array:
         t, out = tokenizer(path, pattern), []
-        for k in range(0, len(texts), 256):
-            for ids in t.encode([x or "" for x in texts.iloc[k : k + 256]]):
-                listed = ids.tolist()
-                out.append((len(listed), hashlib.sha256(" ".join(map(t.decimal.__getitem__, listed)).encode()).hexdigest(), hashlib.sha256(t.decode(listed)).hexdigest()))
-        return pd.DataFrame(out, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return docs.withColumn("_trip", digests(F.col(text_col))).select(*docs.columns, "_trip.*")
+        for ids in t.encode([x or "" for x in texts]):
+            listed = ids.tolist()
+            out.append((len(listed), hashlib.sha256(" ".join(map(t.decimal.__getitem__, listed)).encode()).hexdigest(), hashlib.sha256(t.decode(listed)).hexdigest()))
+        n, coded, decoded = zip(*out, strict=True) if out else ((), (), ())
+        return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(coded, pa.string()), pa.array(decoded, pa.string())], names=["n_tokens", "ids_sha256", "decoded_sha256"])
+
+    own = ("n_tokens", "ids_sha256", "decoded_sha256")
+    trip = text_udf(digests, ROUND_TRIP, after=lambda: tokenizer(path, pattern).pieces.forget())(F.col(text_col).cast("string"))
+    kept = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in own]
+    return docs.select(*kept, trip.alias("_trip")).select(*kept, *(F.col(f"_trip.{c}") for c in own))

@@ -2,25 +2,25 @@
 
 from __future__ import annotations
 
-import functools
+import os
 import struct
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import PieceCache
-from .common import shared_dir, stage, text_of
+from .common import byte_chunks, resident, shared_dir, stage, text_of
 
 #: Fixed values of the frame: length (8 bytes) and its masked checksum (4), the ids, their masked checksum (4); little-endian.
 HEAD, TAIL, MASK = struct.Struct("<QI"), struct.Struct("<I"), 0xA282EAD8
-#: Bytes of records that a reader takes at a time; rows of one offset block in the index.
-CHUNK, BLOCK_ROWS = 1 << 22, 1024
+#: A file ends at so many bytes, a block (a row of the index, read at once) at so many bytes or records.
+FILE, BLOCK, BLOCK_ROWS = 256 << 20, 4 << 20, 1024
 
 
 def masked(data: bytes) -> int:
@@ -54,127 +54,199 @@ def open_store(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri if ":/" in uri else f"file://{uri}")
 
 
-@functools.lru_cache(maxsize=2)
-def library_encoder(path: str) -> PieceCache:
-    """The tokenizers library behind a cache of pieces. Strings of special tokens in a text are ordinary text."""
-    from tokenizers import Tokenizer
+def qualified(spark: SparkSession, folder: str) -> str:
+    """folder with its scheme; one without lies in Spark's default file system, not on an executor's own disk."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    uri = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return uri.replace("file:/", "file:///", 1) if uri.startswith("file:/") and not uri.startswith("file://") else uri
 
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
 
-    def encode(pieces: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.int32) for e in t.encode_batch_fast(pieces, add_special_tokens=False)]
+class LibraryEncoder:
+    """The tokenizers library, as a tokenizer's file sets it up, behind a cache of pieces. A text that holds a string of an added token is encoded whole by the library,
+    which looks for such strings in whole texts before it cuts them."""
 
-    return PieceCache(encode)
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        from tokenizers import Tokenizer
 
+        self.library = Tokenizer.from_file(path)
+        self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        sizes = np.zeros(self.library.get_vocab_size(), np.int64)
+        for token, k in self.library.get_vocab(with_added_tokens=False).items():
+            sizes[k] = len(token)  # the byte-level alphabet has a character for each byte
+        self.sizes = sizes
+        self.pieces = PieceCache(self._starts, self._pieces)
 
-MANIFEST = "shard long, path string, first_doc long, n_records long, n_tokens long, n_bytes long, offsets array<long>, doc_ids array<long>"
+    def _starts(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.int32) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _pieces(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces that tokens never cross: joined, encoded in one go, and cut where the tokens' bytes add up to a piece's end."""
+        joined = ["".join(pieces[k : k + 256]) for k in range(0, len(pieces), 256)]
+        ids = np.concatenate([np.zeros(0, np.int32), *self._starts(joined)])
+        ends = np.cumsum(self.sizes[ids])
+        cuts = np.searchsorted(ends, np.cumsum([len(p.encode("utf-8", "surrogatepass")) for p in pieces]), "right")
+        raw, out, at = ids.tobytes(), [], 0
+        for cut in (4 * cuts).tolist():
+            out.append(raw[at:cut])
+            at = cut
+        return out
 
-def write_records(docs: DataFrame, encode: Callable[[list[str]], list[np.ndarray]], end_id: int = 0, folder: str | None = None) -> DataFrame:
-    """Write the ids of every document, with end_id after them, in ascending doc_id order; return the index, a row for each file.
+    def batch(self, texts: list[str]) -> list[np.ndarray]:
+        whole = [k for k, t in enumerate(texts) if any(a in t for a in self.added)]
+        if not whole:
+            return self.pieces.batch(texts)
+        own = dict(zip(whole, self._starts([texts[k] for k in whole]), strict=True))
+        rest = iter(self.pieces.batch([t for k, t in enumerate(texts) if k not in own]))
+        return [own[k] if k in own else next(rest) for k in range(len(texts))]
 
-    Documents are sorted by ranges of doc_id (null first, ties by text), each task writes a file of its range under a name of its own, and the index
-    is written as a table: shard, path, first_doc, n_records, n_tokens, n_bytes, and the offset and doc_id of every record. A task that is tried again writes another file, and the
-    index names the one of the try that counted. Null text gives end_id alone; an empty table gives no files.
+
+def library_encoder(path: str) -> LibraryEncoder:
+    """One for each worker process."""
+    return resident(f"tokenizers:{path}", lambda: LibraryEncoder(path))
+
+
+INDEX = "shard int, file int, block int, path string, at long, n_bytes long, n_tokens long, offsets array<int>, doc_ids array<long>"
+_INDEX = pa.schema([("shard", pa.int32()), ("file", pa.int32()), ("block", pa.int32()), ("path", pa.string()), ("at", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("offsets", pa.list_(pa.int32())), ("doc_ids", pa.list_(pa.int64()))])
+
+
+def write_records(docs: DataFrame, encoder: Callable[[], LibraryEncoder], end_id: int = 0, folder: str | None = None, most: int = FILE, block_bytes: int = BLOCK) -> DataFrame:
+    """Write the ids of every document, with end_id after them, in ascending doc_id order; return the index, a row for each block of records. `encoder` gives a worker's encoder.
+
+    Documents are sorted by ranges of doc_id and a hash of the text (null ids first), so rows that share an id are dealt out too. Each task writes files of its range, of
+    about `most` bytes each and under names of their own. The index is a table: shard, file, block, path, where the block lies, and the offset in it and the doc_id of every
+    record; a block holds `block_bytes` or BLOCK_ROWS records, or one longer record. A task that is tried again writes other files, and the index names those of the try that
+    counted. Null text gives end_id alone; an empty table gives no files.
     """
     spark = docs.sparkSession
-    folder = folder or f"{shared_dir(spark)}/records-{uuid.uuid4().hex}"
-    ordered = text_of(docs).repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    folder = qualified(spark, folder or f"{shared_dir(spark)}/records-{uuid.uuid4().hex}")
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text").asc()]
+    ordered = text_of(docs).repartitionByRange(*order).sortWithinPartitions(*order, "text")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        shard, store, path, out = TaskContext.get().partitionId(), None, None, None
-        offsets, ids_of, at, tokens = [], [], 0, 0
-        for b in batches:
-            for k in range(0, len(b), 256):
-                part = b.iloc[k : k + 256]
-                if out is None:
+        shard, store, top, path, out = TaskContext.get().partitionId(), None, None, None, None
+        file, block, size = -1, 0, 0
+        own = encoder()
+        records: list[bytes] = []
+        ids_of: list[int | None] = []
+        held = tokens = 0
+
+        def close_block() -> pa.RecordBatch:
+            nonlocal store, top, path, out, file, block, size, held, tokens
+            if out is None or size >= most:
+                if out is not None:
+                    out.close()
+                if store is None:
                     store, top = open_store(folder)
                     store.create_dir(top, recursive=True)
-                    path = f"{top}/{shard:06d}-{uuid.uuid4().hex}.rec"
-                    out = store.open_output_stream(path)
-                for doc, ids in zip(part["doc_id"], encode(part["text"].tolist()), strict=True):
+                file, block, size = file + 1, 0, 0
+                path = f"{top}/{shard:06d}-{file:06d}-{uuid.uuid4().hex}.rec"
+                out = store.open_output_stream(path)
+            offsets = np.cumsum([0] + [len(r) for r in records[:-1]])
+            out.write(b"".join(records))
+            row = {"shard": shard, "file": file, "block": block, "path": path, "at": size, "n_bytes": held, "n_tokens": tokens, "offsets": offsets.tolist(), "doc_ids": list(ids_of)}
+            block, size, held, tokens = block + 1, size + held, 0, 0
+            records.clear()
+            ids_of.clear()
+            return pa.RecordBatch.from_pylist([row], schema=_INDEX)
+
+        for batch in batches:
+            for part, raw in byte_chunks(batch):
+                for doc, ids in zip(part.column("doc_id").to_pylist(), own.batch([x.decode("utf-8", "surrogatepass") for x in raw]), strict=True):
                     record = frame(np.append(ids, end_id))
-                    out.write(record)
-                    offsets.append(at)
-                    ids_of.append(None if pd.isna(doc) else int(doc))
-                    at += len(record)
+                    if records and held + len(record) > block_bytes:
+                        yield close_block()
+                    records.append(record)
+                    ids_of.append(doc)
+                    held += len(record)
                     tokens += len(ids) + 1
+                    if held >= block_bytes or len(records) >= BLOCK_ROWS:
+                        yield close_block()
+        if records:
+            yield close_block()
         if out is not None:
             out.close()
-            yield pd.DataFrame({"shard": [shard], "path": [path], "first_doc": pd.array([ids_of[0]], "Int64"), "n_records": [len(offsets)], "n_tokens": [tokens], "n_bytes": [at], "offsets": [offsets], "doc_ids": [ids_of]})
+        own.pieces.forget()
+
+    return stage(ordered.mapInArrow(run, INDEX), "records-index")
+
 
-    return stage(ordered.mapInPandas(run, MANIFEST), "records-index")
+class Files:
+    """Open files of a store, the latest few."""
 
+    def __init__(self, folder: str, most: int = 64):
+        self.store, _ = open_store(folder)
+        self.most, self.open = most, {}
 
-READ = "doc_id long, start long, ids array<int>"
+    def read(self, path: str, at: int, size: int) -> bytes:
+        f = self.open.pop(path, None) or self.store.open_input_file(path)
+        self.open[path] = f
+        if len(self.open) > self.most:
+            self.open.pop(next(iter(self.open))).close()
+        return f.read_at(size, at)
 
 
-def _records(index: pd.DataFrame, folder: str) -> Iterator[tuple]:
-    for row in index.itertuples():
-        store, _ = open_store(folder)
-        with store.open_input_file(row.path) as f:
-            start, held, base, ends = int(row.first), b"", 0, [*row.offsets[1:], row.n_bytes]
-            for doc, at, end in zip(row.doc_ids, row.offsets, ends, strict=True):
-                if end - base > len(held):
-                    held, base = held[at - base :], at
-                    held += f.read_at(max(CHUNK, end - base) - len(held), base + len(held))
-                ids, _ = unframe(held, int(at - base))
-                yield (None if pd.isna(doc) else int(doc)), start, ids
+def _blocks(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[list[tuple]]:
+    """(doc_id, start, ids) of the records of each row of the index."""
+    files = None
+    for batch in batches:
+        for row in batch.to_pylist():
+            files = files or Files(folder)
+            data, start, out = files.read(row["path"], row["at"], row["n_bytes"]), row["first"], []
+            for doc, at in zip(row["doc_ids"], row["offsets"], strict=True):
+                ids, _ = unframe(data, at)
+                out.append((doc, start, ids))
                 start += len(ids)
+            yield out
 
 
-def _index(index: DataFrame) -> DataFrame:
-    before = F.sum("n_tokens").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))
-    starts = index.select("shard", "n_tokens").withColumn("first", F.coalesce(before, F.lit(0)).cast("long")).select("shard", "first")
-    return index.join(starts, "shard")
+def _placed(index: DataFrame) -> DataFrame:
+    """The index with `first`, the number of ids before each block: shards' sums (one row for each task that wrote) pass one window, blocks one for each shard."""
+    before = lambda w: F.coalesce(F.sum("n_tokens").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long")
+    shards = index.groupBy("shard").agg(F.sum("n_tokens").alias("n_tokens")).select("shard", before(Window.orderBy("shard")).alias("base"))
+    inside = index.select("*", before(Window.partitionBy("shard").orderBy("file", "block")).alias("inside"))
+    return inside.join(shards, "shard").select("path", "at", "n_bytes", "offsets", "doc_ids", (F.col("base") + F.col("inside")).alias("first"))
 
 
 def read_records(index: DataFrame, folder: str) -> DataFrame:
-    """doc_id, start (ids of all records before it), ids, read from the files that the index names; a file is read a few MB at a time."""
+    """doc_id, start (ids of all records before it), ids, read from the files that the index names, a block at a time."""
+    folder = qualified(index.sparkSession, folder)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out, size = [], 0
-            for doc, start, ids in _records(b, folder):
-                out.append((doc, start, ids.astype(np.int32)))
-                size += len(ids)
-                if size > 1 << 20:
-                    yield pd.DataFrame(out, columns=["doc_id", "start", "ids"]).astype({"doc_id": "Int64"})
-                    out, size = [], 0
-            yield pd.DataFrame(out, columns=["doc_id", "start", "ids"]).astype({"doc_id": "Int64"})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _blocks(batches, folder):
+            doc, start, ids = zip(*rows, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(start, pa.int64()), pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32()))], names=["doc_id", "start", "ids"])
 
-    return _index(index).repartition("shard").mapInPandas(run, READ)
+    return _placed(index).mapInArrow(run, "doc_id long, start long, ids array<int>")
 
 
 def digest_records(index: DataFrame, folder: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 (of the ids as little-endian unsigned 32-bit integers), read from the files."""
+    folder = qualified(index.sparkSession, folder)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = [(doc, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes())) for doc, start, ids in _records(b, folder)]
-            yield pd.DataFrame(out, columns=["doc_id", "start", "n_tokens", "ids_crc32"]).astype({"doc_id": "Int64"})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _blocks(batches, folder):
+            found = [(doc, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes())) for doc, start, ids in rows]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return _index(index).repartition("shard").mapInPandas(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return _placed(index).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def read_shuffled(index: DataFrame, folder: str, seed: str) -> DataFrame:
     """Single records in the order of a seeded hash, each fetched by its offset: doc_id, ids."""
+    folder = qualified(index.sparkSession, folder)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        store, _ = open_store(folder)
-        for b in batches:
-            out = []
-            for row in b.itertuples():
-                with store.open_input_file(row.path) as f:
-                    out.append((None if pd.isna(row.doc_id) else int(row.doc_id), unframe(f.read_at(row.size, row.offset))[0].astype(np.int32)))
-            yield pd.DataFrame(out, columns=["doc_id", "ids"]).astype({"doc_id": "Int64"})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files = None
+        for batch in batches:
+            files = files or Files(folder)
+            ids = [unframe(files.read(r["path"], r["offset"], r["size"]))[0].astype(np.int32) for r in batch.to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
-    each = index.select("path", "n_bytes", "offsets", F.posexplode(F.arrays_zip("doc_ids", "offsets")).alias("k", "r"))
+    each = index.select("path", "at", "n_bytes", "offsets", F.posexplode(F.arrays_zip("doc_ids", "offsets")).alias("k", "r"))
     end = F.coalesce(F.try_element_at(F.col("offsets"), F.col("k") + 2), F.col("n_bytes"))
-    rows = each.select("path", F.col("r.doc_ids").alias("doc_id"), F.col("r.offsets").alias("offset"), (end - F.col("r.offsets")).alias("size"))
-    return rows.repartition(F.xxhash64(F.lit(seed), "path", "offset")).sortWithinPartitions(F.xxhash64(F.lit(seed), "path", "offset")).mapInPandas(run, "doc_id long, ids array<int>")
-
-
+    rows = each.select("path", F.col("r.doc_ids").alias("doc_id"), (F.col("at") + F.col("r.offsets")).alias("offset"), (end - F.col("r.offsets")).cast("long").alias("size"))
+    mixed = F.xxhash64(F.lit(seed), "path", "offset")
+    return rows.repartition(mixed).sortWithinPartitions(mixed).mapInArrow(run, "doc_id long, ids array<int>")
