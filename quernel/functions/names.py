@@ -8,8 +8,6 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import let
-
 #: Variants of one input, at most.
 MOST_VARIANTS = 16
 
@@ -61,28 +59,37 @@ def variants(text: str) -> list[tuple[str, str]]:
 ASCII_UPPER, ASCII_LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def match_variant(name: Column, text: str, *, contains: bool = False, case_sensitive: bool = False) -> Column:
-    """The first variant of text that a name matches, as a struct (ordinal, value, kind), or null. Exact matches fold ASCII case only, others all case; folded variants only count where
-    case doesn't."""
-
-    def first(bound: Column) -> Column:
-        n, folded, lowered, style = bound["n"], bound["a"], bound["l"], bound["s"]
-        found = F.lit(None).cast("struct<ordinal: int, value: string, kind: string>")
-        for k, (value, kind) in reversed(list(enumerate(variants(text)))):
-            if kind == "case_fold" and case_sensitive:
-                continue
-            if kind == "style_key":
-                hit = style.contains(value) if contains else style == value
-            elif kind == "case_fold":
-                hit = lowered.contains(value) if contains else lowered == value
-            elif contains:
-                hit = n.contains(value) if case_sensitive else lowered.contains(value.lower())
-            else:
-                hit = n == value if case_sensitive else folded == value.translate(str.maketrans(ASCII_UPPER, ASCII_LOWER))
-            found = F.when(hit, F.struct(F.lit(k).alias("ordinal"), F.lit(value).alias("value"), F.lit(kind).alias("kind"))).otherwise(found)
-        return found
-
-    return let(F.struct(name.alias("n"), F.translate(name, ASCII_UPPER, ASCII_LOWER).alias("a"), F.lower(name).alias("l"), style_key_col(name).alias("s")), first)
+def quoted(text: str) -> str:
+    """text as a SQL string."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+#: SQL of the last identifier of a name, and of the one before its signature.
+LAST_SQL = "coalesce(nullif(regexp_extract({0}, '([A-Za-z0-9_]+)[^A-Za-z0-9_]*$', 1), ''), {0})"
+BASE_SQL = LAST_SQL.format("split_part({0}, '(', 1)")
+STYLE_SQL = "lower(regexp_replace(regexp_replace(regexp_replace({0}, '([a-z0-9])([A-Z])', '$1_$2'), '[^A-Za-z0-9]+', '_'), '^_+|_+$', ''))"
+
+
+def variant_sql(name: str, text: str, *, contains: bool = False, case_sensitive: bool = False) -> str:
+    """SQL for the first variant of text that a name, itself SQL, matches, as a struct (ordinal, value, kind), or null. The name and its folded forms are computed once."""
+    fold = str.maketrans(ASCII_UPPER, ASCII_LOWER)
+    cases = []
+    for k, (value, kind) in enumerate(variants(text)):
+        if kind == "case_fold" and case_sensitive:
+            continue
+        form, wanted = ("s", value) if kind == "style_key" else ("l", value) if kind == "case_fold" else ("n", value) if case_sensitive else ("l", value.lower()) if contains else ("a", value.translate(fold))
+        hit = f"contains(b.{form}, {quoted(wanted)})" if contains else f"b.{form} = {quoted(wanted)}"
+        cases.append(f"when {hit} then named_struct('ordinal', {k}, 'value', {quoted(value)}, 'kind', '{kind}')")
+    if not cases:
+        return "cast(null as struct<ordinal: int, value: string, kind: string>)"
+    forms = f"named_struct('n', {name}, 'a', translate({name}, '{ASCII_UPPER}', '{ASCII_LOWER}'), 'l', lower({name}), 's', {STYLE_SQL.format(name)})"
+    return f"transform(array({forms}), b -> case {' '.join(cases)} end)[0]"
+
+
+def match_variant(name: str, text: str, *, contains: bool = False, case_sensitive: bool = False) -> Column:
+    """The first variant of text that a name (a column, or SQL) matches, as a struct (ordinal, value, kind), or null. Exact matches fold ASCII case only, others all case; folded variants
+    only count where case doesn't."""
+    return F.expr(variant_sql(name, text, contains=contains, case_sensitive=case_sensitive))
 
 
 def needs_expansion(text: str) -> bool:

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.names import display_name, last_identifier_col, like_method, match_variant, method_base_col, symbol_key, upsert_symbols
+from ..functions.names import BASE_SQL, LAST_SQL, display_name, like_method, match_variant, method_base_col, symbol_key, upsert_symbols, variant_sql, variants
+from ..functions.text import any_of
 
 #: Symbol kinds of the interchange format that have names.
 KINDS = {3: "array", 7: "class", 8: "constant", 9: "constructor", 11: "enum", 12: "enummember", 15: "field", 17: "function", 21: "interface", 26: "method", 29: "module", 30: "namespace", 33: "object", 35: "package", 41: "property", 49: "struct", 54: "type", 61: "variable"}
@@ -55,7 +57,7 @@ def occurrences_of(occ: DataFrame, identifier: str, role: str) -> DataFrame:
 
 def precise(occ: DataFrame, text: str, role: str, contains: bool = False) -> DataFrame:
     """Occurrences of a role that a variant of the input matches by name, else symbol, else key."""
-    m = F.coalesce(*(match_variant(F.col(c), text, contains=contains) for c in ("name", "symbol", "symbol_key")))
+    m = F.coalesce(*(match_variant(c, text, contains=contains) for c in ("name", "symbol", "symbol_key")))
     return occ.where(F.col("role") == role).withColumn("variant", m).where("variant is not null").select("*", F.col("variant.kind").alias("matched_by")).drop("variant").dropDuplicates()
 
 
@@ -154,14 +156,19 @@ def callers_of(edges: DataFrame, text: str, nodes_: DataFrame | None = None, cas
 
 def matched_nodes(ids: DataFrame, text: str, case_sensitive: bool = False) -> DataFrame:
     """(id, matched_by) of the nodes (id, display_name) that a variant of the input matches by id, display name, their last identifiers, or those before a signature."""
-    forms = [F.col("id"), F.col("display_name")]
-    forms += [f(c) for f in (last_identifier_col, method_base_col) for c in forms]
-    return ids.withColumn("hit", F.coalesce(*(match_variant(f, text, case_sensitive=case_sensitive) for f in forms))).where("hit is not null").select("id", F.col("hit.kind").alias("matched_by"))
+    forms = ["id", "display_name", *(f.format(c) for f in (LAST_SQL, BASE_SQL) for c in ("id", "display_name"))]
+    hit = F.expr(f"coalesce({', '.join(variant_sql(f, text, case_sensitive=case_sensitive) for f in forms)})")
+    bare = lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9]", "")
+    wanted = sorted({re.sub("[^a-z0-9]", "", v.lower()) for v, _ in variants(text)})
+    # Whatever form of a name a variant matches, the name without its marks holds the variant without its: one cheap test before the many.
+    possible = any_of([bare(F.col("id")).contains(w) | bare(F.col("display_name")).contains(w) for w in wanted]) if all(wanted) else F.lit(True)
+    counted = F.col("n") > 0 if "n" in ids.columns else F.lit(True)
+    return ids.withColumn("hit", F.when(counted & possible, hit)).where("hit is not null").select("id", F.col("hit.kind").alias("matched_by"))
 
 
 def _near(edges: DataFrame, end: str, text: str, nodes_: DataFrame | None, case_sensitive: bool) -> DataFrame:
-    """Nodes are matched once each, then joined with their edges."""
-    ids = edges.select(F.col(end).alias("id")).distinct()
+    """Nodes are matched once each, then joined with their edges. Their count goes into the condition, so it can't be moved below the aggregate, where it would run for each edge."""
+    ids = edges.groupBy(F.col(end).alias("id")).agg(F.count("*").alias("n"))
     ids = ids.withColumn("display_name", F.col("id")) if nodes_ is None else ids.join(nodes_.select("id", "display_name"), "id", "left").withColumn("display_name", F.coalesce(F.when(F.col("display_name") != "", F.col("display_name")), F.col("id")))
     found = matched_nodes(ids, text, case_sensitive)
     return edges.join(found.withColumnRenamed("id", end), end).select(*edges.columns, "matched_by")

@@ -130,7 +130,7 @@ class Engine:
         return self.candidates if self.candidates is not None else extract.candidates(self.files)
 
     def _symbols(self, text: str, contains: bool) -> DataFrame:
-        m = graph.match_variant(F.col("name"), text, contains=contains)
+        m = graph.match_variant("name", text, contains=contains)
         found = extract.symbols(self._parser()).withColumn("variant", m).where("variant is not null")
         return labelled(found.withColumn("matched_by", F.col("variant.kind")).drop("variant"), "parser_fact", "parser")
 

@@ -193,7 +193,8 @@ def content_proof(spark, sf):
     return catalog.proofs(corpus.corpus_files(spark, sf)).select("path", "hash")
 
 
-@query()
+@query("""with h as (select doc_id, lower(hex(encode(lower(text)))) as h, unnest(range(0, greatest(strlen(lower(text)) - 2, 0))) as i from documents)
+select gram, count(*)::bigint as files from (select distinct doc_id, substr(h, 2 * i + 1, 6) as gram from h) group by 1""")
 def trigram_df(spark, sf):
     """In how many files each trigram is."""
     return catalog.gram_index(corpus.corpus_files(spark, sf)).groupBy("gram").agg(F.count("*").alias("files"))
@@ -340,7 +341,7 @@ def style_key(spark, sf):
 
 @query("select p_partkey as id, case when lower(p_brand) = 'brand#11' then 'raw' else 'style_key' end as matched_by from part where lower(p_brand) = 'brand#11' or replace(lower(p_brand), '#', '_') = 'brand_11'")
 def name_variants(spark, sf):
-    p = corpus.table(spark, sf, "part").withColumn("m", names.match_variant(F.col("p_brand"), "Brand#11"))
+    p = corpus.table(spark, sf, "part").withColumn("m", names.match_variant("p_brand", "Brand#11"))
     return p.where("m is not null").select(F.col("p_partkey").alias("id"), F.col("m.kind").alias("matched_by"))
 
 
@@ -620,21 +621,28 @@ def text_units(spark, sf):
     return d.select("doc_id", F.length("text").cast("long").alias("code_points"), F.octet_length("text").cast("long").alias("bytes"), text.utf16_units(F.col("text")).alias("utf16"))
 
 
-#: Generated source: a file in each language with a definition, a call and an import.
-SOURCES = (
-    ("a/mod.py", "import os\n\nclass Box:\n    def open(self, x):\n        return helper(x)\n\ndef helper(v):\n    return os.path.join(v, str(v))\n"),
-    ("b/lib.rs", "use std::fmt;\nstruct Node { id: u32 }\nimpl Node {\n  fn walk(&self) -> u32 { step(self.id) }\n}\nfn step(x: u32) -> u32 { x + 1 }\n"),
-    ("c/main.go", "package main\nimport \"fmt\"\ntype Job struct { n int }\nfunc (j *Job) Run() { fmt.Println(work(j.n)) }\nfunc work(n int) int { return n }\n"),
-    ("d/App.java", "import java.util.List;\npublic class App {\n  public App() { start(); }\n  void start() { List.of(1).size(); }\n}\n"),
-    ("e/ui.ts", "import { x } from 'lib';\nexport class View {\n  render() { return draw(x); }\n}\nfunction draw(v) { return v; }\n"),
-)
+#: Source in each language, %d being a number: path, and a definition, one inside it, and a call.
+SOURCES = {
+    "py": "class C%d:\n    def m%d(self):\n        return h%d(1)\n",
+    "rs": "struct S%d { id: u32 }\nimpl S%d {\n  fn w%d(&self) -> u32 { t%d(self.id) }\n}\n",
+    "go": "package main\ntype J%d struct { n int }\nfunc (j *J%d) R%d() { q%d(j.n) }\n",
+    "java": "public class A%d {\n  void s%d() { u%d(1); }\n}\n",
+    "ts": "export class V%d {\n  r%d() { return d%d(x); }\n}\n",
+}
 
 
-@query()
+@query("""with f as (select p_partkey as k, (['py', 'rs', 'go', 'java', 'ts'])[(p_partkey % 5 + 1)::int] as ext from part),
+t as (select * from (values ('py', 'class', 'C', 1), ('py', 'method', 'm', 2), ('py', 'call', 'h', 3), ('rs', 'type', 'S', 1), ('rs', 'method', 'w', 3), ('rs', 'call', 't', 3), ('go', 'type', 'J', 2), ('go', 'definition', 'R', 3), ('go', 'call', 'q', 3),
+  ('java', 'class', 'A', 1), ('java', 'method', 's', 2), ('java', 'call', 'u', 2), ('ts', 'class', 'V', 1), ('ts', 'method', 'r', 2), ('ts', 'call', 'd', 2)) v(ext, candidate_kind, letter, line))
+select 'f/' || k::varchar || '.' || ext as path, candidate_kind, letter || k::varchar as name, line::bigint as line from f join t using (ext)""")
 def source_extract(spark, sf):
-    """Symbols, imports and calls of generated source in five languages."""
-    files = spark.createDataFrame(SOURCES, "path string, content string").withColumn("language", text.language_of(F.col("path")))
-    return extract.candidates(files)
+    """Symbols and calls of a source file for each part, in five languages."""
+    p = corpus.table(spark, sf, "part")
+    exts = F.array(*(F.lit(x) for x in SOURCES))
+    own = p.select(F.col("p_partkey").alias("k"), F.element_at(exts, (F.col("p_partkey") % 5 + 1).cast("int")).alias("ext"))
+    body = F.coalesce(*(F.when(F.col("ext") == e, F.regexp_replace(F.lit(t), "%d", F.col("k").cast("string"))) for e, t in SOURCES.items()))
+    files = own.select(F.concat(F.lit("f/"), F.col("k").cast("string"), F.lit("."), F.col("ext")).alias("path"), body.alias("content")).withColumn("language", text.language_of(F.col("path")))
+    return extract.candidates(files).select("path", "candidate_kind", "name", F.col("line").cast("long").alias("line"))
 
 
 from . import queries_store  # noqa: E402, F401  registers more queries

@@ -397,15 +397,6 @@ def output_budget(spark, sf):
     return n.withColumn("preview_chars", paging.preview_chars_col(F.col("files"), F.col("bytes"), F.col("matched")))
 
 
-@query("select path, count(*)::bigint as symbols from (select 'p' || (p_partkey % 50)::varchar as path from part) group by 1")
-def extracted_symbols(spark, sf):
-    """Parts as source files of a function each, parsed, and the symbols that the parser finds in them."""
-    p = corpus.table(spark, sf, "part")
-    line = F.format_string("def f_%d(x):\n    return g(x)\n", "p_partkey")
-    files = p.groupBy(F.concat(F.lit("p"), (F.col("p_partkey") % 50).cast("string")).alias("path")).agg(F.array_join(F.sort_array(F.collect_list(line)), "").alias("content")).withColumn("language", F.lit("python"))
-    return extract.symbols(extract.candidates(files, most=None)).groupBy("path").agg(F.count("*").alias("symbols"))
-
-
 @query("select 'p' || (p_partkey % 50)::varchar as path, 'f_' || p_partkey::varchar as caller, 'g' as callee from part")
 def extracted_calls(spark, sf):
     """The calls in the same files, with the function around each."""

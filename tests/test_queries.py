@@ -28,16 +28,6 @@ def test_equals_sql(spark, duck, name):
     assert columns == sorted(own.columns) and values(own, columns) == values(sql, columns)
 
 
-def test_trigram_df(spark):
-    docs = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
-    seen = {}
-    for t in docs:
-        raw = t.lower().encode()
-        for g in {raw[k : k + 3].hex() for k in range(len(raw) - 2)}:
-            seen[g] = seen.get(g, 0) + 1
-    assert {r.gram: r.files for r in q.trigram_df(spark, SF).collect()} == seen
-
-
 def test_stream_equals_batch(spark):
     key = lambda r: str(tuple(r))
     assert sorted(q.event_fold_stream(spark, SF).collect(), key=key) == sorted(q.event_fold_batch(spark, SF).collect(), key=key)
