@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quernel.llm import bpe, minhash, mixing, pii, quality
-from quernel.llm.common import shared_dir
+from quernel.llm.common import fresh, shared_dir, unstage
 
 
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,18 +16,19 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rule and the learned rules keep."""
-    rules = quality.fit(docs, _labels(spark, sf_dir))
-    return quality.judge(docs, rules).where("judged.kept").select(*docs.columns)
+    """Documents that the base rule and the learned rules keep. Null texts go, as they have no words."""
+    name = fresh("judged", docs.columns)
+    return quality.judge(docs, quality.fit(docs, _labels(spark, sf_dir)), name).where(f"{name}.kept").select(*docs.columns)
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group: that with the least id. Of rows that share an id the first by text stays; rows without an id all stay."""
-    kept = minhash.near_duplicates(docs).where("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows_of_id"))
+    n, place = fresh("rows_of_id", docs.columns), fresh("place_of_row", docs.columns)
+    kept = minhash.near_duplicates(docs).where("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias(n))
     own = docs.join(kept, "doc_id")
-    once = own.where("rows_of_id = 1").select(*docs.columns)
+    once = own.where(F.col(n) == 1).select(*docs.columns)
     first = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last(), *(F.col(c) for c in docs.columns if c not in ("doc_id", "text")))
-    several = own.where("rows_of_id > 1").withColumn("place_of_row", F.row_number().over(first)).where("place_of_row = 1").select(*docs.columns)
+    several = own.where(F.col(n) > 1).withColumn(place, F.row_number().over(first)).where(F.col(place) == 1).select(*docs.columns)
     return once.unionByName(several).unionByName(docs.where("doc_id is null"))
 
 
@@ -58,9 +59,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages applied to documents, each written to the shared folder and read again."""
+    """The stages applied to documents, each written to the shared folder and read again; what a stage has read goes once its own table is written."""
     docs, top = spark.read.parquet(f"{sf_dir}/documents.parquet"), f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{top}/{k}")
-        docs = spark.read.parquet(f"{top}/{k}")
+        made = stage(spark, docs, sf_dir)
+        made.write.parquet(f"{top}/{k}")
+        if k:
+            unstage(docs)
+        docs = spark.read.schema(made.schema).parquet(f"{top}/{k}")
     return docs
