@@ -5,11 +5,11 @@ from __future__ import annotations
 import re
 from itertools import islice
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, word_count
+from .common import WORD, fresh, stage, word_count
 
 #: Weights of the sources in code point order, repeating; the share of all sizes that the mix takes; the most epochs of a source.
 WEIGHTS, SHARE, MOST_EPOCHS = (5, 2, 1), 1.5, 2
@@ -56,7 +56,8 @@ def mix(docs: DataFrame, labels: DataFrame | None = None, *, seed: str = "mix:",
     it is spent, so the last document gives only its first words. Null text has size 0; such documents and those of an empty source take 0.
     Null sources form one source, the last. Equal ids have equal keys and go in order of size. labels (doc_id, quality 0 or 1; repeated rows are averaged) scales
     the keys from 0.5 to 2; without a label a document weighs 1. An empty table gives an empty result.
-    A source's documents are never gathered: sizes are summed by (source, key range) first, and only the range with the cut is ordered.
+    A source's documents are never gathered: sizes are summed by (source, key range) first, and only the range with the cut is ordered. Words are counted in one scan, which leaves a
+    slim table.
     """
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), *(F.col(c).alias(_KEPT + c) for c in keep))
     if labels is not None:
@@ -65,7 +66,7 @@ def mix(docs: DataFrame, labels: DataFrame | None = None, *, seed: str = "mix:",
     else:
         base = base.withColumn("quality", F.lit(1.0))
     base = base.withColumn("key", sampling_key(F.col("doc_id"), F.col("quality"), seed))
-    base = base.withColumn("range", F.least(F.floor((1 - F.exp(-F.col("key"))) * RANGES), F.lit(RANGES - 1)).cast("int"))
+    base = stage(base.withColumn("range", F.least(F.floor((1 - F.exp(-F.col("key"))) * RANGES), F.lit(RANGES - 1)).cast("int")), "mix-sizes")
 
     ranges = base.groupBy("source", "range").agg(F.sum("size").alias("in_range"))
     sources = source_targets(ranges.groupBy("source").agg(F.sum("in_range").alias("source_size")), weights, share, most)
@@ -100,16 +101,25 @@ def mixed(docs: DataFrame, labels: DataFrame | None = None, **how) -> DataFrame:
     """The mix itself, with the columns of docs: each document once for every complete epoch, once more if the fraction takes it, and the last one of a
     source cut after the words that were left. Documents that aren't taken, and those without words, go."""
 
-    @F.pandas_udf("string")
-    def cut(texts: pd.Series, counts: pd.Series) -> pd.Series:
-        return pd.Series([first_words(t, int(n)) for t, n in zip(texts, counts, strict=True)], dtype=object)
+    @F.arrow_udf("string")
+    def cut(texts: pa.Array, counts: pa.Array) -> pa.Array:
+        return pa.array([first_words(t.as_py(), n) for t, n in zip(texts, counts.to_pylist(), strict=True)], pa.string())
 
     columns = docs.columns
-    chosen = mix(docs.withColumn("n_row", F.struct(*columns)), labels, keep=("n_row",), **how)
+    alike = lambda doc, source, size: F.struct(F.col(doc).cast("long").alias("a"), F.col(source).cast("string").alias("b"), size.alias("c"))  # noqa: E731  nulls are equal in it
+    row, key, place = (fresh(n, columns) for n in ("n_row", "row_key", "row_place"))
+    chosen = mix(docs, labels, keep=("source",), **how)
     more = F.col("taken") - F.col("epochs") * F.col("size")
-    copies = F.when(F.col("size") > 0, F.col("epochs") + F.when(more == F.col("size"), 1).otherwise(0)).otherwise(0).cast("int")
-    whole = chosen.where(copies > 0).select("n_row", F.explode(F.sequence(F.lit(1), copies))).select("n_row.*")
-    part = chosen.where((more > 0) & (more < F.col("size"))).select("n_row.*", more.alias(_KEPT))
+    # Rows alike in id, source and size are interchangeable: some of them are taken whole once more, one in part.
+    plan = chosen.where("size > 0").groupBy(alike("doc_id", "source", F.col("size")).alias("k")).agg(F.max("epochs").alias("epochs"), F.count_if(more == F.col("size")).alias("whole"), F.max(F.when(more < F.col("size"), more)).alias("part"))
+    plan = plan.where("epochs > 0 or whole > 0 or part > 0")
+    rows = docs.select(F.struct(*columns).alias(row), alike("doc_id", "source", word_count(F.col("text"))).alias(key)).join(plan, F.col(key) == F.col("k"))  # texts move once
+    placed = rows.withColumn(place, F.row_number().over(Window.partitionBy(key).orderBy(F.col(f"{row}.text"))))
+    copies = (F.col("epochs") + F.when(F.col(place) <= F.col("whole"), 1).otherwise(0)).cast("int")
+    words = F.when((F.col(place) == F.col("whole") + 1) & (F.col("part") > 0), F.col("part"))
+    each = F.explode(F.concat(F.array_repeat(F.lit(None).cast("long"), copies), F.when(words.isNotNull(), F.array(words)).otherwise(F.array().cast("array<long>")))).alias(place)
+    taken = placed.select(row, each).select(f"{row}.*", F.col(place).alias(_KEPT))
+    whole, part = taken.where(F.col(_KEPT).isNull()).drop(_KEPT), taken.where(F.col(_KEPT).isNotNull())
     part = part.withColumn("text", cut(F.col("text"), F.col(_KEPT))).drop(_KEPT)
     if "n_chars" in columns:
         part = part.withColumn("n_chars", F.char_length("text").cast(dict(docs.dtypes)["n_chars"]))
