@@ -135,12 +135,12 @@ def runs_of(kinds: DataFrame, bodies: DataFrame, length: int, piece: int, folder
     if per.isEmpty():
         return whole
     hot = F.col("kinds") > MANY if widths else F.lit(False)
-    mixed = bodies.join(per, "anchor")
+    mixed = bodies.join(per.hint("merge"), "anchor")
     found = sorted_runs(mixed.where(~hot), length, folder)
     if widths and not per.where(hot).isEmpty():
         once = mixed.where(hot).groupBy(*ids).agg(F.first("body").alias("body"))
         found = found.unionByName(split_runs(once, length, piece, folder, widths))
-    return whole.unionByName(stage(found, "suffix-runs").join(kinds.where("copies = 1").select(*ids), ids, "left_semi").where("size(runs) > 0"))
+    return whole.unionByName(stage(found, "suffix-runs").join(kinds.where("copies = 1").select(*ids).hint("merge"), ids, "left_semi").where("size(runs) > 0"))
 
 
 def dedup(docs: DataFrame, length: int = LENGTH, piece: int = PIECE, *, with_text: bool = True) -> DataFrame:
@@ -151,7 +151,8 @@ def dedup(docs: DataFrame, length: int = LENGTH, piece: int = PIECE, *, with_tex
 
     Shards hold the segments of the anchors that occur twice. Equal segments (128 bits over their bytes) are counted first: all their strings repeat, and one of them stands for all.
     Where an anchor has different segments, those are suffix-sorted by external induction, and strings repeat where common prefixes reach `length` bytes; queues go to the shared
-    folder once they outgrow memory. An anchor with more than MANY contents is split by the bytes around it first.
+    folder once they outgrow memory. An anchor with more than MANY contents is split by the bytes around it first. Sides of joins that grow with the corpus are merged at every size, so hot
+    anchors are split by the adaptive join and a small run costs in proportion to a large one.
     """
     folder = f"{qualified(docs.sparkSession, shared_dir(docs.sparkSession))}/suffix-queues"
     rows = text_of(docs).withColumn("row_id", F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))).withColumn("tag", F.xxhash64("text"))
@@ -177,7 +178,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, piece: int = PIECE, *, with_tex
     counted = rows.select("text").mapInArrow(anchor_rows, "anchor long, n long")
     twice = stage(counted.groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor"), "suffix-anchors")
     every = rows.select("row_id", "tag", "text").mapInArrow(segment_rows, "row_id long, tag long, start long, n int, anchor long, one long, two long")
-    shared = stage(every.join(twice, "anchor"), "suffix-segments")
+    shared = stage(every.join(twice.hint("merge"), "anchor"), "suffix-segments")
     kinds = stage(shared.groupBy(*ids).agg(F.count("*").alias("copies"), F.min(F.struct("row_id", "tag", "start", "n")).alias("at")).select(*ids, "copies", "at", F.col("at.n").alias("n")), "suffix-kinds")
 
     def cut_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,11 +191,11 @@ def dedup(docs: DataFrame, length: int = LENGTH, piece: int = PIECE, *, with_tex
                 yield pa.RecordBatch.from_arrays([*(pa.array(k, pa.int64()) for k in keys), pa.array(found, pa.binary())], names=[*ids, "body"])
 
     several = kinds.groupBy("anchor").agg(F.count("*").alias("m")).where("m > 1").select("anchor")
-    places = kinds.join(several, "anchor").groupBy(F.col("at.row_id").alias("r"), F.col("at.tag").alias("t")).agg(F.collect_list(F.struct(*ids, "at.start", "at.n")).alias("wanted"))  # as long as the text at most
+    places = kinds.join(several.hint("merge"), "anchor").groupBy(F.col("at.row_id").alias("r"), F.col("at.tag").alias("t")).agg(F.collect_list(F.struct(*ids, "at.start", "at.n")).alias("wanted"))  # as long as the text at most
     # Rows that are equal throughout have one body, so a table with repeated rows may give a body several times; one is kept.
     bodies = texts.join(places.hint("shuffle_hash"), (F.col("row_id") == F.col("r")) & (F.col("tag") == F.col("t"))).select("text", "wanted").mapInArrow(cut_rows, "anchor long, one long, two long, body binary")
     verdict = stage(runs_of(kinds.drop("at"), bodies, length, piece, folder, WIDTHS), "suffix-verdict")
-    hits = shared.join(verdict, ids)
+    hits = shared.join(verdict.hint("merge"), ids)
     gone = hits.groupBy(F.col("row_id").alias("r"), F.col("tag").alias("t")).agg(F.collect_list(F.struct("start", "runs")).alias("gone"))
 
     def kept_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
