@@ -23,7 +23,7 @@ SMALL = 64
 #: Members that one task confirms against one centre; rounds of other centres before the blocks that are left are compared.
 PER_TASK, ROUNDS = 512, 1
 #: Members of one bucket and size class that meet the others of the bucket in one task.
-BLOCK = 256
+BLOCK = 2048
 #: A sketch has four bits of each bin. At similarity 0.75 two of 256 bins' sketches differ in 60, give or take 8 at most; beyond this a pair isn't confirmed on full sets.
 PLANES, MOST_DIFFER = 4, 100
 #: Words of 64 bits in the bitmap of a set's hashes. Each shingle that only one of two sets has turns one bit at most, so bitmaps never rule out a pair that is similar enough.
