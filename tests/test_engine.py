@@ -1,7 +1,10 @@
 """Patterns, names, verbs, extraction, configuration, projects, states and snapshots on small fixtures."""
 
+import ast
+import hashlib
 import random
 import subprocess
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -100,6 +103,16 @@ def test_extraction():
     assert list(extract.python_candidates("def (")) == []
 
 
+def test_extraction_of_a_large_file():
+    """Bodies are cut by offsets: time in proportion to the file, and the same digests as cutting the whole text again for each."""
+    odd = "s = 'é\f'\r\nclass É:\r    def f(self): return 'é'; x = 1\n\f\ndef g(\n  a):\n    def h(): return '''é\n'''\n    return h"
+    bodies = {n.name: ast.get_source_segment(odd, n) for n in ast.walk(ast.parse(odd)) if hasattr(n, "name")}
+    assert {r[2]: r[8] for r in extract.python_candidates(odd) if r[8]} == {k: hashlib.sha256(v.encode()).hexdigest()[:16] for k, v in bodies.items()} and len(bodies) == 4
+    began = time.time()
+    rows = list(extract.python_candidates("".join(f"def f_{k}(x):\n    return g(x)\n" for k in range(10_000))))
+    assert len(rows) == 20_000 and len({r[8] for r in rows if r[0] == "definition"}) == 10_000 and time.time() - began < 10
+
+
 def test_config(spark):
     rows = [("a.json", '{"db": {"password": "x", "port": 5, "l": [1]}}'), ("b.toml", "[t]\nk = 1\n"), ("c.yaml", "a:\n  b: 1\n  items:\n  - n: x\n"), ("d.ini", "[s]\nk=v\n"), ("Dockerfile", "FROM x\nRUN y z\n"), ("Makefile", "all: x\n\tgo build\n"), ("e.sh", "#!/bin/sh\nf() {\n}\nA=1\nls -l\n"), ("bad.json", "{")]
     found = config.extract(spark.createDataFrame(rows, "path string, content string")).collect()
