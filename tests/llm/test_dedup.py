@@ -125,6 +125,40 @@ def test_anchors_with_many_contents_are_split(spark, monkeypatch):
         assert bytes(out[k].kept).decode() == "".join(c for i, c in enumerate(t) if i not in gone)
 
 
+def test_contents_are_narrowed_to_what_may_repeat():
+    """No repeat is lost, and contents that share little more than their anchor aren't sorted."""
+    r = random.Random(14)
+    noise = lambda n: bytes(r.choice(b"abcdefgh \xc3\xa9") for _ in range(n))
+    for length, piece in ((400, 64), (70, 12), (30, 20)):
+        passages, texts = [noise(3 * length) for _ in range(4)], []
+        for k in range(120):
+            a = r.randrange(2 * length)
+            texts.append(noise(r.randrange(length)) + r.choice(passages)[a : a + r.randint(piece, length + piece)] + noise(r.randrange(length)))
+        doc, start, n, anchor, _ = suffix_dedup.segments(texts, length, piece)
+        seen = {(q, k): texts[d][a : a + m + length - 1] for k, (d, a, m, q) in enumerate(zip(doc.tolist(), start.tolist(), n.tolist(), anchor.tolist()))}
+        seen = {k: v for v, k in {v: k for k, v in seen.items()}.items()}
+        counts = Counter(v[i : i + length] for v in seen.values() for i in range(len(v) - length + 1))
+        own = {k: (a, v) for k, a, v in suffix_dedup.narrowed(seen, length, piece)}
+        for k, v in seen.items():
+            again = [i for i in range(len(v) - length + 1) if counts[v[i : i + length]] > 1]
+            a, part = own.get(k, (0, b""))
+            assert v[a : a + len(part)] == part and all(a <= i and i + length <= a + len(part) for i in again)
+        assert counts.most_common(1)[0][1] > 1 and sum(len(v) for _, v in own.values()) < 0.5 * sum(map(len, seen.values()))
+
+
+def test_splitting_an_anchor_reads_no_text_again(spark, monkeypatch):
+    """What is sorted and what is split come from one table of contents; the texts are dealt out once for it."""
+    monkeypatch.setattr(suffix_dedup, "MANY", 2)
+    plans, staged = {}, suffix_dedup.stage
+    monkeypatch.setattr(suffix_dedup, "stage", lambda df, name: (plans.setdefault(name, df._jdf.queryExecution().toString()), staged(df, name))[1])
+    r = random.Random(8)
+    letters = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    passage = letters(150)
+    texts = [letters(r.randint(0, 90)) + passage[r.randint(0, 60) : r.randint(90, 150)] + letters(r.randint(0, 90)) for _ in range(25)]
+    suffix_dedup.dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), length=70, piece=12).collect()
+    assert {"suffix-classes", "suffix-runs"} <= set(plans) and not [k for k in ("suffix-classes", "suffix-runs") if "wanted" in plans[k]]
+
+
 def shingle_set(text):
     w = WORD.findall((text or "").translate(ASCII_LOWER))
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
