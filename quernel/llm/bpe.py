@@ -139,7 +139,7 @@ class PieceCache(dict):
             new = own
         again = new.intersection(self.last)
         self.update((p, self.last[p]) for p in again)
-        fresh = list(new.difference(again))
+        fresh = list(new.difference(again) if again else new)
         self.update(zip(fresh, self.encode([" " + p for p in fresh]), strict=True))
         return [np.frombuffer(b"".join([a.tobytes(), *map(self.__getitem__, c)]), np.int32) if c else a for a, c in zip(self.starts(firsts), cut, strict=True)]
 

@@ -1,6 +1,7 @@
 """Chat windows, BPE, fingerprints, quality rules and records."""
 
 import hashlib
+import random
 import zlib
 from collections import Counter
 
@@ -240,3 +241,19 @@ def test_records(spark, docs, no_docs, rows):
     mixed = [r.doc_id for r in records.read_shuffled(index, folder, "a").collect()]
     assert sorted(mixed, key=str) == sorted((r[0] for r in rows), key=str) and mixed != [x[0] for x in expected]
     assert records.digest_records(records.write_records(no_docs, encode), folder).collect() == []
+
+
+def test_plain_pieces_are_cut_as_the_library_cuts_them():
+    """Letters, signs and line breaks by rule, all else by the library's pattern; and what a task has encoded it doesn't encode again."""
+    encoder = records.LibraryEncoder(P.path("byte_bpe_50k.json"))
+    assert encoder.words is not None
+    r = random.Random(21)
+    parts = ["a", "Straße", "don't", "it's.", "Ænima,", "né", "x.\ny", "End.\nThe", "a\n\nb", "a.\n", "...", "?!", "a.b", "a,b!", "ƺ", "ǆ", "Ωμ", "中文.", "²", "ª", "7", "a7", "7.", "e\u0301", "\n", "\ta", "\u00a0b", "<|endoftext|>", "a<|endoftext|>", "'ll", "l'eau", "a_b", "a;", "\1b", "Ġa", "aĊb", "ĳ", "a:\nb;\nc", "\r\n"]
+    texts = ["".join(r.choice(parts) + r.choice([" ", " ", " ", "", "  ", "\n"]) for _ in range(r.randint(0, 40))) for _ in range(1500)]
+    expected = [e.ids for e in encoder.library.encode_batch(texts, add_special_tokens=False)]
+    assert [x.tolist() for x in encoder.batch(texts)] == expected
+    many = [" ".join(f"w{k}" for k in range(a, a + 20_000)) for a in range(100_000, 300_000, 20_000)]
+    asked, encode = [], encoder.pieces.encode
+    encoder.pieces.encode = lambda pieces: (asked.append(len(pieces)), encode(pieces))[1]
+    one = [encoder.batch([x])[0].tolist() for x in many]
+    assert [encoder.batch([x])[0].tolist() for x in many] == one and sum(asked) < 201_000
